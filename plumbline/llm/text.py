@@ -31,7 +31,7 @@ _powers: list[np.ndarray] = []
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes, not rows: a batch of very long texts must not exceed a Python worker's memory."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key)) > ARROW_BATCH_BYTES:
+    if int(spark.conf.get(key).rstrip("bB")) > ARROW_BATCH_BYTES:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 

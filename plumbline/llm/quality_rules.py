@@ -27,6 +27,7 @@ from plumbline.plans.lineage import cut
 
 THRESHOLD = 0.5
 MIN_WORDS = 20
+WRONG = 0.02
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = ("symbols", "word_length", "lines", "windows", "variety", "capitals", "endings", "bare", "shouts")
 
@@ -94,31 +95,45 @@ def unpack(code: np.ndarray) -> np.ndarray:
     return (code[:, None] // 3 ** np.arange(len(RULES))) % 3 - 1
 
 
-def estimate(votes: np.ndarray, count: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """(share of good texts, accuracy[rule, class]) by expectation-maximisation over patterns of votes.
+def estimate(votes: np.ndarray, count: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """(share of each class, rate[class, rule]) by expectation-maximisation over patterns of votes.
 
-    accuracy[r, c]: how often rule r, if it votes, is right about texts of class c (1: good). It stays over one half,
-    which fixes what good means: what most rules say. Each estimate has the weight of two made-up votes, one right.
+    Class 0 are the good texts; class r + 1 are the bad texts of the kind that rule r is about, as the rules do not
+    err independently on bad texts: one that knows repetition passes all strings of symbols. rate is how often a rule,
+    if it votes, votes bad, so its accuracy is 1 - rate on good texts and rate on bad ones. What tells the classes
+    apart is only this: rules are wrong about ``WRONG`` of the good texts at most, and right about at least half of
+    the bad texts that they are about. Each estimate has the weight of two made-up votes at its first value.
     """
-    share, accuracy = 0.8, np.full((votes.shape[1], 2), 0.8)
+    rules = votes.shape[1]
+    begin = np.full((rules + 1, rules), 0.1)
+    begin[0] = WRONG / 2
+    own = (np.arange(1, rules + 1), np.arange(rules))
+    begin[own] = 0.8
+    rate, share = begin, np.array([0.8] + [0.2 / rules] * rules)
     for _ in range(rounds):
-        p = posterior(votes, share, accuracy)
-        weight = np.column_stack([count * (1 - p), count * p])
-        right = np.stack([(votes == -1).T @ weight[:, 0], (votes == 1).T @ weight[:, 1]], 1)
-        cast = np.stack([(votes != 0).T @ weight[:, 0], (votes != 0).T @ weight[:, 1]], 1)
-        new = np.clip((right + 1) / (cast + 2), 0.55, 0.995)
-        s = float(np.clip((weight[:, 1].sum() + 1) / (count.sum() + 2), 0.02, 0.98))
-        moved = max(abs(s - share), np.abs(new - accuracy).max())
-        share, accuracy = s, new
+        weight = classes(votes, share, rate) * count[:, None]
+        bad, cast = weight.T @ (votes == -1), weight.T @ (votes != 0)
+        new = np.clip((bad + 2 * begin) / (cast + 2), 0.001, 0.995)
+        new[0] = np.minimum(new[0], WRONG)
+        new[own] = np.maximum(new[own], 0.5)
+        s = (weight.sum(0) + 0.01) / (count.sum() + 0.01 * len(share))
+        moved = max(np.abs(s - share).max(), np.abs(new - rate).max())
+        share, rate = s, new
         if moved < 1e-6:
             break
-    return share, accuracy
+    return share, rate
 
 
-def posterior(votes: np.ndarray, share: float, accuracy: np.ndarray) -> np.ndarray:
-    good = np.where(votes == 1, np.log(accuracy[:, 1]), np.where(votes == -1, np.log(1 - accuracy[:, 1]), 0)).sum(1)
-    bad = np.where(votes == -1, np.log(accuracy[:, 0]), np.where(votes == 1, np.log(1 - accuracy[:, 0]), 0)).sum(1)
-    return 1 / (1 + np.exp(np.clip(bad - good + np.log((1 - share) / share), -700, 700)))
+def classes(votes: np.ndarray, share: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Posterior probability of each class for each row of votes."""
+    logs = (votes == -1) @ np.log(rate).T + (votes == 1) @ np.log(1 - rate).T + np.log(share)
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def posterior(votes: np.ndarray, share: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Posterior probability of being good."""
+    return classes(votes, share, rate)[:, 0]
 
 
 def quality(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

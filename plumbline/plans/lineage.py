@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint, so a lost executor costs no recomputation of what is above."""
+    """Materialise ``df`` with a reliable checkpoint, so a lost executor costs no recomputation of what is above.
+
+    Shuffle files of finished stages stay on disk until the driver collects garbage, so ask it to.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -38,6 +38,13 @@ _BITMAP = 25  # the bitmap of sets to verify: 2 ** 25 bits, 4 MB
 SIMILARITY = 0.8  # written out as 4/5 and 8/9 below
 
 
+def _within(line: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order by (line, upper 44 bits of key)."""
+    if len(line) and line[-1] >= 1 << 20:
+        return np.lexsort((key >> np.uint64(20), line))
+    return np.argsort((line.astype(np.uint64) << np.uint64(44)) | (key >> np.uint64(20)))
+
+
 class Sets:
     """The lines of a chunk of texts as sets of distinct words, each in ascending order of (line, hash)."""
 
@@ -48,7 +55,7 @@ class Sets:
         last = np.searchsorted(w.start, end)
         line = np.repeat(np.arange(len(start)), last - first)
         h = w.hashes()
-        order = np.lexsort((h, line))
+        order = _within(line, h)
         h, line = h[order], line[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -104,7 +111,9 @@ def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 once[at] = True
                 keep &= once
                 r = rank[lookup.find(s.h)]
-                order = np.lexsort((s.h, r, s.line))
+                # Words of a line are in the order of their hashes, so the place breaks ties as the hash would.
+                place = np.arange(len(s.h)) - s.first[s.line]
+                order = _within(s.line, (r.astype(np.uint64) << np.uint64(46)) | (place.astype(np.uint64) << np.uint64(20)))
                 n = s.size - -(-4 * s.size // 5) + 1
                 lines = np.flatnonzero(keep)
                 count = n[lines]
@@ -123,7 +132,8 @@ def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 def candidates(sets: DataFrame) -> DataFrame:
     """(x, y): keys of sets, once each, that the filters cannot tell apart; x the smaller set."""
     filed = F.col("size") - F.ceil(F.col("size") * 8 / 9) + 1
-    parts = sets.select("key", "size", "sketch", F.posexplode("words").alias("i", "word"))
+    # 31 bits of a word's hash are enough to meet: words that share them only add candidates.
+    parts = sets.select("key", "size", "sketch", F.posexplode("words").alias("i", "word")).withColumn("word", F.col("word").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     x = parts.where(F.col("i") < filed).select("word", *[F.col(c).alias(f"{c}_x") for c in ("key", "size", "sketch", "i")])
     y = parts.select("word", *[F.col(c).alias(f"{c}_y") for c in ("key", "size", "sketch", "i")])
     sizes = F.col("size_x") + F.col("size_y")
@@ -173,7 +183,7 @@ def links(docs: DataFrame, hot_words: int = HOT) -> DataFrame:
     sets = prefixes(docs, hot).groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "words")])
     pairs = cut(candidates(sets))
     keys = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
-    whole = complete_sets(docs, keys)
+    whole = cut(complete_sets(docs, keys))
     with_x = pairs.join(whole.select(F.col("key").alias("x"), F.col("words").alias("wx")), "x")
     both = with_x.join(whole.select(F.col("key").alias("y"), F.col("words").alias("wy")), "y")
     common = F.size(F.array_intersect("wx", "wy"))

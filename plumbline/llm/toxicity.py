@@ -37,11 +37,12 @@ LEXICON = {
     "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting"),
 }
 CHAIN = (*LEXICON, "toxic")
-PREFIX = 6
+PREFIX = 5
 MAX_TRAIN = 5000
 FOLDS = 3
 FEATURES = 8192
-THRESHOLD = 0.5
+THRESHOLD = 0.35
+L2 = 2e-5
 _BITS = 20
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -146,11 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain
     sparse = Rows(rows, len(chosen))
     before, models = np.zeros((len(x), 0)), []
     for c in range(len(CHAIN)):
-        models.append(fit_logistic(sparse, before, y[:, c], weight))
+        models.append(fit_logistic(sparse, before, y[:, c], weight, L2))
         out = np.zeros(len(x))
         if c + 1 < len(CHAIN):
             for train, test in parts:
-                w, v, b = fit_logistic(Rows([rows[i] for i in train], len(chosen)), before[train], y[train, c], weight[train])
+                w, v, b = fit_logistic(Rows([rows[i] for i in train], len(chosen)), before[train], y[train, c], weight[train], L2)
                 out[test] = sigmoid(Rows([rows[i] for i in test], len(chosen)).dot(w) + before[test] @ v + b)
             before = np.column_stack([before, out])
     return Chain(CHAIN, chosen, models)

@@ -34,6 +34,7 @@ from plumbline.llm.text import Words, map_arrow, mix, slices
 from plumbline.plans.lineage import cut
 
 HOT = 1 << 17
+SLICES = 4
 _BITMAP = 25  # the bitmap of sets to verify: 2 ** 25 bits, 4 MB
 SIMILARITY = 0.8  # written out as 4/5 and 8/9 below
 
@@ -119,21 +120,33 @@ def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 count = n[lines]
                 begin = np.concatenate([[0], np.cumsum(count)])
                 take = np.repeat(s.first[lines] - begin[:-1], count) + np.arange(begin[-1])
-                words = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(s.h[order[take]].view(np.int64)))
+                # 31 bits of a word's hash are enough to meet: words that share them only add candidates.
+                meet = (s.h[order[take]] >> np.uint64(33)).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(meet))
                 bit = np.uint64(1) << (mix(s.h) & np.uint64(63))
                 sketch = np.bitwise_xor.reduceat(bit, s.first[:-1]) if len(s.size) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s.key[lines].view(np.int64)), pa.array(s.size[lines].astype(np.int32)), pa.array(sketch[lines].view(np.int64)), words], ["key", "size", "sketch", "words"]
                 )
 
-    return map_arrow(docs.select("text"), run, "key bigint, size int, sketch bigint, words array<bigint>")
+    return map_arrow(docs.select("text"), run, "key bigint, size int, sketch bigint, words array<int>")
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(x, y): keys of sets, once each, that the filters cannot tell apart; x the smaller set."""
+    """(x, y): keys of sets, once each, that the filters cannot tell apart; x the smaller set.
+
+    The words are taken in ``SLICES`` parts one after the other, as the shuffled prefixes of all sets take several
+    times the space of what they lead to."""
+    out = None
+    for k in range(SLICES):
+        part = cut(_candidates(sets, k))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def _candidates(sets: DataFrame, k: int) -> DataFrame:
     filed = F.col("size") - F.ceil(F.col("size") * 8 / 9) + 1
-    # 31 bits of a word's hash are enough to meet: words that share them only add candidates.
-    parts = sets.select("key", "size", "sketch", F.posexplode("words").alias("i", "word")).withColumn("word", F.col("word").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    parts = sets.select("key", "size", "sketch", F.posexplode("words").alias("i", "word")).where(F.col("word") % SLICES == k)
     x = parts.where(F.col("i") < filed).select("word", *[F.col(c).alias(f"{c}_x") for c in ("key", "size", "sketch", "i")])
     y = parts.select("word", *[F.col(c).alias(f"{c}_y") for c in ("key", "size", "sketch", "i")])
     sizes = F.col("size_x") + F.col("size_y")
@@ -180,7 +193,7 @@ def complete_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def links(docs: DataFrame, hot_words: int = HOT) -> DataFrame:
     """(x, y): keys of all pairs of different sets that match."""
     hot = frequent(word_counts(docs), hot_words)
-    sets = prefixes(docs, hot).groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "words")])
+    sets = cut(prefixes(docs, hot).groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "words")]))
     pairs = cut(candidates(sets))
     keys = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
     whole = cut(complete_sets(docs, keys))

@@ -1,9 +1,929 @@
-"""Named queries of the core operators over the driver's tables, with their SQL forms."""
+"""Named queries of the core operators over whole tables, with their SQL forms for DuckDB."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions import distributions as D
+from plumbline.functions import kernels as K
+from plumbline.functions.multivariate import Mixture, MultivariateNormal, MultivariateStudent, NormalInverseWishart
+from plumbline.operators import cluster, design, distance, fdiff, frame, gp, kde, mcmc, mixture, optim, poly, quadrature, resample, scaler, sobol, stats, svm
+from plumbline.sources import delimited
+from plumbline.streaming import moments as streaming
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c, name: str) -> Column:
+    """Rounded to 6 decimals, without a negative zero."""
+    c = F.col(c) if isinstance(c, str) else c
+    return (F.round(c, 6) + F.lit(0.0)).alias(name)
+
+
+def q6(sql: str, name: str) -> str:
+    return f"round({sql}, 6) + 0.0 AS {name}"
+
+
+COLS = ["q", "p", "d", "t"]
+LINES = "SELECT l_quantity AS q, l_extendedprice / 1000 AS p, l_discount AS d, l_tax AS t FROM lineitem"
+KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_shipdate"]
+NUMBERED = f"SELECT row_number() OVER (ORDER BY {', '.join(KEYS)}) - 1 AS row_id, l_quantity AS q, l_extendedprice / 1000 AS p, l_discount AS d, l_tax AS t FROM lineitem"
+
+
+def _lines(spark, d) -> DataFrame:
+    return _t(spark, d, "lineitem").select(F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000).alias("p"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"))
+
+
+def _numbered(spark, d) -> DataFrame:
+    rows = _t(spark, d, "lineitem").withColumns({"q": F.col("l_quantity"), "p": F.col("l_extendedprice") / 1000, "d": F.col("l_discount"), "t": F.col("l_tax")})
+    return frame.with_row_id(rows.select(*KEYS, *COLS), KEYS).select("row_id", *COLS)
+
+
+# --- statistics --------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT unnest(['q','p','d','t']) AS feature, round(unnest([avg(q), avg(p), avg(d), avg(t)]), 6) AS value FROM ({LINES})")
+def column_means(spark, d):
+    return stats.means(_lines(spark, d), COLS).select("feature", r6("value", "value"))
+
+
+def _matrix_sql(f: str, xs, ys) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {q6(f.format(a, b), 'v')} FROM l" for i, a in enumerate(xs) for j, b in enumerate(ys))
+
+
+@query(f"WITH l AS ({LINES}) {_matrix_sql('covar_samp({}, {})', COLS, COLS)}")
+def covariance_matrix(spark, d):
+    return stats.covariance(_lines(spark, d), COLS).select("i", "j", r6("v", "v"))
+
+
+@query(f"WITH l AS ({LINES}) {_matrix_sql('coalesce(corr({}, {}), 0.0)', COLS[:2], COLS)}")
+def pearson_matrix(spark, d):
+    return stats.pearson(_lines(spark, d), COLS[:2], COLS).select("i", "j", r6("v", "v"))
+
+
+PROBS = [0.05, 0.25, 0.5, 0.9, 0.99]
+
+
+@query(" UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, round(quantile_cont(p, {q}), 6) AS value FROM ({LINES})" for q in PROBS))
+def quantile_type7(spark, d):
+    return stats.quantiles(_lines(spark, d), "p", PROBS).select("q", r6("value", "value"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS value FROM ({LINES})" for c in COLS[:2]))
+def inter_quantile_range(spark, d):
+    return stats.inter_quantile_range(_lines(spark, d), COLS[:2], 0.25, 0.75).select("feature", r6("value", "value"))
+
+
+SERIES = """SELECT row_number() OVER (ORDER BY h) - 1 AS t, x, y FROM (
+  SELECT date_trunc('hour', ts) AS h, avg(value) AS x, count(*)::DOUBLE AS y FROM events GROUP BY 1)"""
+
+
+def _series(spark, d) -> DataFrame:
+    """Mean value and number of the events of each hour."""
+    hours = _t(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("x"), F.count("*").cast("double").alias("y"))
+    return frame.with_row_id(hours, ["h"], "t").select("t", "x", "y")
+
+
+def _lag_sql(low: int, high: int) -> str:
+    pairs = [(0, 0, "x", "x"), (0, 1, "x", "y"), (1, 0, "y", "x"), (1, 1, "y", "y")]
+    parts = [f"SELECT lag, {i} AS i, {j} AS j, {q6(f'coalesce(corr(a.{x}, b.{y}), 0.0)', 'v')} FROM k JOIN s a ON true JOIN s b ON b.t = a.t + lag GROUP BY lag" for i, j, x, y in pairs]
+    return f"WITH s AS ({SERIES}), k AS (SELECT unnest(range({low}, {high + 1}))::INT AS lag) " + " UNION ALL ".join(parts)
+
+
+@query(_lag_sql(3, 3))
+def lagged_correlation(spark, d):
+    return stats.lagged_correlation(_series(spark, d), "t", ["x", "y"], [3]).select("lag", "i", "j", r6("v", "v"))
+
+
+@query(_lag_sql(-4, 4))
+def lagged_correlation_range(spark, d):
+    return stats.lagged_correlation(_series(spark, d), "t", ["x", "y"], list(range(-4, 5))).select("lag", "i", "j", r6("v", "v"))
+
+
+@query(f"""WITH s AS ({SERIES}), k AS (SELECT unnest(range(0, 41))::INT AS lag),
+r AS (SELECT 0 AS feature, lag, coalesce(corr(a.x, b.x), 0.0) AS v FROM k JOIN s a ON true JOIN s b ON b.t = a.t + lag GROUP BY lag
+  UNION ALL SELECT 1, lag, coalesce(corr(a.y, b.y), 0.0) FROM k JOIN s a ON true JOIN s b ON b.t = a.t + lag GROUP BY lag),
+g AS (SELECT *, v + lag(v) OVER (PARTITION BY feature ORDER BY lag) AS pair FROM r),
+stop AS (SELECT coalesce(min(lag), 41) AS upto FROM g WHERE lag % 2 = 1 AND pair < 0),
+len AS (SELECT feature, sum(v) AS length FROM r WHERE lag < (SELECT upto FROM stop) GROUP BY feature)
+SELECT feature, round(length, 6) AS length, round((SELECT count(*) FROM s) / (2 * (SELECT max(length) FROM len) - 1), 6) AS ess FROM len""")
+def correlation_length_ess(spark, d):
+    return stats.correlation_length(_series(spark, d), "t", ["x", "y"], 40).select("feature", r6("length", "length"), r6("ess", "ess"))
+
+
+@query(f"""WITH s AS ({SERIES}), m AS (SELECT avg(x) AS mx, avg(y) AS my, sqrt(var_pop(x) * count(*) * var_pop(y) * count(*)) AS z FROM s),
+n AS (SELECT count(*) AS n FROM s), k AS (SELECT unnest(range(1 - (SELECT n FROM n), (SELECT n FROM n))) AS lag)
+SELECT lag::BIGINT AS lag, {q6("sum((a.x - mx) * (b.y - my)) / any_value(z)", "v")} FROM k JOIN s a ON true JOIN s b ON b.t = a.t + lag, m GROUP BY lag""")
+def cross_correlation_all_lags(spark, d):
+    return stats.cross_correlation_fft(_series(spark, d), "t", "x", "y").select("lag", r6("v", "v"))
+
+
+# --- resampling --------------------------------------------------------------------------------------------------
+
+FOLDED = f"SELECT *, least(row_id // ((SELECT count(*) FROM lineitem) // 7), 6)::INT AS fold FROM ({NUMBERED})"
+
+
+def _folded(spark, d, **options):
+    rows = _numbered(spark, d)
+    return resample.kfold(rows, _t(spark, d, "lineitem").count(), 7, **options)
+
+
+@query(f"SELECT fold, count(*) AS n, min(row_id) AS low, max(row_id) AS high FROM ({FOLDED}) GROUP BY fold")
+def kfold_assignment(spark, d):
+    return _folded(spark, d).groupBy("fold").agg(F.count("*").alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high"))
+
+
+_SHUFFLED = f"""SELECT *, least((row_number() OVER (ORDER BY {frame.mixed_sql(42, 'row_id')}, row_id) - 1) // ((SELECT count(*) FROM lineitem) // 7), 6)::INT AS fold FROM ({NUMBERED})"""
+
+
+@query(f"SELECT fold, count(*) AS n, sum(row_id)::BIGINT AS ids FROM ({_SHUFFLED}) GROUP BY fold")
+def kfold_shuffled(spark, d):
+    return _folded(spark, d, shuffle=True).groupBy("fold").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
+
+
+@query(f"""WITH f AS ({FOLDED}), s AS (SELECT fold, count(*) AS n, sum(p) AS s FROM f GROUP BY fold),
+m AS (SELECT a.fold, sum(b.s) / sum(b.n) AS m FROM s a JOIN s b ON a.fold <> b.fold GROUP BY a.fold)
+SELECT fold, {q6('avg((p - m) * (p - m))', 'mse')} FROM f JOIN m USING (fold) GROUP BY fold""")
+def kfold_mean_cv(spark, d):
+    """Mean squared error in each fold of the mean over the other folds, from the folds' sums."""
+    rows = _folded(spark, d)
+    sums = rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
+    total = sums.agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"))
+    means = sums.join(F.broadcast(total), F.lit(True)).select("fold", ((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("m"))
+    joined = rows.join(F.broadcast(means), "fold")
+    return joined.groupBy("fold").agg(r6(F.avg(F.pow(F.col("p") - F.col("m"), 2)), "mse"))
+
+
+@query(f"SELECT fold = 2 AS test, count(*) AS n, round(avg(p), 6) AS mean FROM ({FOLDED}) GROUP BY 1")
+def train_test_split(spark, d):
+    train, test = resample.train_test(_folded(spark, d), 2)
+    out = test.agg(F.count("*").alias("n"), r6(F.avg("p"), "mean")).select(F.lit(True).alias("test"), "n", "mean")
+    return out.unionByName(train.agg(F.count("*").alias("n"), r6(F.avg("p"), "mean")).select(F.lit(False).alias("test"), "n", "mean"))
+
+
+_N = "(SELECT count(*) FROM lineitem)"
+_BOOT = f"SELECT b, k, {frame.mixed_sql(42, 'b', 'k')} % {_N} AS row_id FROM (SELECT unnest(range(0, 5)) AS b) JOIN (SELECT unnest(range(0, {_N})) AS k) ON true"
+
+
+@query(f"SELECT b, {q6('avg(p)', 'mean')}, {q6('var_samp(p)', 'variance')} FROM ({_BOOT}) JOIN ({NUMBERED}) USING (row_id) GROUP BY b")
+def bootstrap_mean_var(spark, d):
+    rows = _numbered(spark, d)
+    index = resample.bootstrap_index(spark, _t(spark, d, "lineitem").count(), 5)
+    return resample.bootstrap(rows, index).groupBy("b").agg(r6(F.avg("p"), "mean"), r6(F.var_samp("p"), "variance"))
+
+
+@query(f"""WITH s AS (SELECT b, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY b ORDER BY {frame.mixed_sql(7, 'b', 'row_id')}, row_id) AS k
+  FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS row_id FROM supplier) JOIN (SELECT unnest(range(0, 4)) AS b) ON true)
+SELECT b, count(*) AS n, count(DISTINCT s_suppkey) AS distinct_n, {q6('avg(s_acctbal)', 'mean')} FROM s WHERE k <= (SELECT count(*) FROM supplier) // 2 GROUP BY b""")
+def bootstrap_without_replacement(spark, d):
+    rows = frame.with_row_id(_t(spark, d, "supplier"), ["s_suppkey"])
+    n = rows.count()
+    index = resample.bootstrap_index(spark, n, 4, n // 2, replace=False, seed=7)
+    got = resample.bootstrap(rows, index).groupBy("b")
+    return got.agg(F.count("*").alias("n"), F.count_distinct("s_suppkey").alias("distinct_n"), r6(F.avg("s_acctbal"), "mean"))
+
+
+# --- distances ---------------------------------------------------------------------------------------------------
+
+PAIRS = "SELECT list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"
+
+
+@query(f"SELECT count(*) AS n_pairs, round(avg(dist), 6) AS mean FROM ({PAIRS})")
+def pairwise_distance_mean(spark, d):
+    return distance.pairwise_mean(_t(spark, d, "embeddings"), "vec_id", "embedding").select("n_pairs", r6("mean", "mean"))
+
+
+@query(f"WITH d AS (SELECT dist, row_number() OVER (ORDER BY dist) - 1 AS r FROM ({PAIRS})), n AS (SELECT count(*) AS n FROM d) SELECT q::DOUBLE AS q, round(dist, 6) AS value FROM (SELECT unnest([0.1, 0.5, 0.9]) AS q), d, n WHERE r = floor(q::DOUBLE * (n - 1))")
+def pairwise_distance_quantile(spark, d):
+    return distance.pairwise_quantiles(_t(spark, d, "embeddings"), "vec_id", "embedding", [0.1, 0.5, 0.9]).select("q", r6("value", "value"))
+
+
+@query(f"SELECT r::DOUBLE AS r, round(avg(CASE WHEN dist < r THEN 1.0 ELSE 0.0 END), 6) AS fraction FROM ({PAIRS}), (SELECT unnest([0.7, 0.9, 1.1, 1.3, 1.5]) AS r) GROUP BY r")
+def correlation_integral(spark, d):
+    return distance.correlation_integral(_t(spark, d, "embeddings"), "vec_id", "embedding", [0.7, 0.9, 1.1, 1.3, 1.5]).select("r", r6("fraction", "fraction"))
+
+
+def _two_types(spark, d):
+    events = _t(spark, d, "events")
+    first, last = events.agg(F.min("event_type"), F.max("event_type")).first()
+    return events.where(F.col("event_type") == first), events.where(F.col("event_type") == last)
+
+
+def _w_sql(p: int) -> str:
+    return f"""WITH x AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
+y AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS j FROM events WHERE event_type = (SELECT max(event_type) FROM events)),
+n AS (SELECT (SELECT count(*) FROM x) AS n, (SELECT count(*) FROM y) AS m),
+b AS (SELECT DISTINCT k FROM (SELECT i * m AS k FROM x, n UNION ALL SELECT j * n FROM y, n)),
+s AS (SELECT k, coalesce(lead(k) OVER (ORDER BY k), n * m) - k AS w FROM b, n)
+SELECT {q6(f"sum(w::DOUBLE / (n::DOUBLE * m::DOUBLE) * pow(abs(x.value - y.value), {p}))", "w")} FROM s, n JOIN x ON x.i = s.k // m JOIN y ON y.j = s.k // n"""
+
+
+@query(_w_sql(1))
+def wasserstein_1d_p1(spark, d):
+    a, b = _two_types(spark, d)
+    return distance.wasserstein_1d(a, b, "value", 1).select(r6("w", "w"))
+
+
+@query(_w_sql(2))
+def wasserstein_1d_p2(spark, d):
+    a, b = _two_types(spark, d)
+    return distance.wasserstein_1d(a, b, "value", 2).select(r6("w", "w"))
+
+
+def _directions(spark, n: int, d: int) -> DataFrame:
+    """Unit vectors from seeded uniforms."""
+    ids = spark.range(n).select(F.col("id").alias("k"))
+    u = ids.withColumn("v", F.array(*[frame.uniform(3, F.col("k"), F.lit(j)) - 0.5 for j in range(d)]))
+    norm = F.sqrt(frame.dot(F.col("v"), F.col("v")))
+    return u.select("k", F.transform("v", lambda x: x / norm).alias("u"))
+
+
+_DIRS = f"SELECT k, list_transform(v, lambda e: e / sqrt(list_dot_product(v, v))) AS u FROM (SELECT k, list(w ORDER BY j) AS v FROM (SELECT k, j, {frame.uniform_sql(3, 'k', 'j')} - 0.5::DOUBLE AS w FROM (SELECT unnest(range(0, 8)) AS k) JOIN (SELECT unnest(range(0, 64)) AS j) ON true) GROUP BY k)"
+
+
+@query(f"""WITH e AS (SELECT embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings), h AS (SELECT count(*) // 2 AS h FROM e), u AS ({_DIRS}),
+a AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY s) AS i FROM (SELECT k, list_dot_product(x, u) AS s FROM e, h, u WHERE r < h)),
+b AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY s) AS i FROM (SELECT k, list_dot_product(x, u) AS s FROM e, h, u WHERE r >= h AND r < 2 * h))
+SELECT {q6(f"1e30 * avg(w) / {distance.sphere_area(64)!r}::DOUBLE / 1e30", "w")}, {q6("avg(w)", "mean_w")} FROM (SELECT k, avg((a.s - b.s) * (a.s - b.s)) AS w FROM a JOIN b USING (k, i) GROUP BY k)""")
+def sliced_wasserstein(spark, d):
+    rows = frame.with_row_id(_t(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"])
+    half = rows.count() // 2
+    a, b = rows.where(F.col("row_id") < half), rows.where((F.col("row_id") >= half) & (F.col("row_id") < 2 * half))
+    w = distance.sliced_wasserstein(a, b, "embedding", _directions(spark, 8, 64), 64, 2.0)
+    return w.select(r6("w", "w"), r6(F.col("w") * distance.sphere_area(64), "mean_w"))
+
+
+# --- scalers -----------------------------------------------------------------------------------------------------
+
+
+def _first_two(df: DataFrame) -> DataFrame:
+    keep = df.select("row_id", *[r6(F.col("z")[i], f"z{i}") for i in range(2)])
+    return keep
+
+
+@query(f"WITH l AS ({NUMBERED}), m AS (SELECT avg(q) AS a, stddev_samp(q) AS s, avg(p) AS b, stddev_samp(p) AS u FROM l) SELECT row_id, {q6('(q - a) / s', 'z0')}, {q6('(p - b) / u', 'z1')} FROM l, m")
+def scaler_zscore(spark, d):
+    rows = _numbered(spark, d)
+    return _first_two(scaler.fit_elliptic(rows, ["q", "p"]).transform(rows))
+
+
+@query(f"WITH l AS ({NUMBERED}), m AS (SELECT min(q) AS a, max(q) AS s, min(p) AS b, max(p) AS u FROM l) SELECT row_id, {q6('-1 + (q - a) / (s - a) * 2', 'z0')}, {q6('-1 + (p - b) / (u - b) * 2', 'z1')} FROM l, m")
+def scaler_minmax(spark, d):
+    rows = _numbered(spark, d)
+    return _first_two(scaler.fit_min_max(rows, ["q", "p"], -1, 1).transform(rows))
+
+
+@query(f"""WITH l AS ({NUMBERED}), m AS (SELECT avg(q) AS a, avg(p) AS b, var_samp(q) AS vq, var_samp(p) AS vp, covar_samp(q, p) AS c FROM l)
+SELECT row_id, {q6('(q - a) / sqrt(vq)', 'z0')}, {q6('((p - b) - c / vq * (q - a)) / sqrt(vp - c * c / vq)', 'z1')} FROM l, m""")
+def scaler_whiten(spark, d):
+    rows = _numbered(spark, d)
+    return _first_two(scaler.fit_whitening(rows, ["q", "p"]).transform(rows))
+
+
+@query(f"""WITH l AS ({NUMBERED}), m AS (SELECT avg(q) AS a, avg(p) AS b, var_samp(q) AS vq, var_samp(p) AS vp, covar_samp(q, p) AS c FROM l),
+e AS (SELECT *, (vq + vp) / 2 AS h, sqrt((vq - vp) * (vq - vp) / 4 + c * c) AS r FROM m),
+g AS (SELECT *, sqrt(c * c + (h + r - vq) * (h + r - vq)) AS n FROM e)
+SELECT row_id, {q6('((q - a) * c + (p - b) * (h + r - vq)) / n / sqrt(h + r)', 'z0')} FROM l, g""")
+def pca_scores(spark, d):
+    """The direction of largest variance; its larger entry is positive, as both columns are positively correlated."""
+    rows = _numbered(spark, d)
+    return scaler.fit_pca(rows, ["q", "p"], 1).transform(rows).select("row_id", r6(F.col("z")[0], "z0"))
+
+
+@query(f"SELECT row_id, {q6('q', 'z0')}, {q6('p', 'z1')} FROM ({NUMBERED})")
+def scaler_identity(spark, d):
+    return _first_two(scaler.identity(_numbered(spark, d), ["q", "p"]))
+
+
+# --- distributions -----------------------------------------------------------------------------------------------
+
+EVENTS = "SELECT event_id, greatest(abs(value), 0.001) AS x, value FROM events"
+
+
+def _events(spark, d) -> DataFrame:
+    return _t(spark, d, "events").select("event_id", F.greatest(F.abs("value"), F.lit(0.001)).alias("x"), "value")
+
+
+def _density_query(name: str, dist: D.Univariate, x: Callable[[], Column], log_pdf: str, d1: str, d2: str, source: str = "x"):
+    sql = f"SELECT event_id, {q6(log_pdf, 'log_pdf')}, {q6(d1, 'd1')}, {q6(d2, 'd2')} FROM (SELECT event_id, {source} AS x FROM ({EVENTS}))"
+
+    @query(sql, f"logpdf_{name}")
+    def run(spark, d):
+        return _events(spark, d).withColumn("z", x()).select("event_id", r6(dist.log_pdf(F.col("z")), "log_pdf"), r6(dist.d_log_pdf(F.col("z")), "d1"), r6(dist.dd_log_pdf(F.col("z")), "d2"))
+
+
+def _c(v: float) -> str:
+    return f"({float(v)!r})::DOUBLE"
+
+
+def _x() -> Column:
+    return F.col("x")
+
+
+def _value() -> Column:
+    return F.col("value")
+
+
+_density_query("normal", D.Normal(50, 20), _value, f"-0.5 * ((x - 50) / 20) * ((x - 50) / 20) - {_c(math.log(20))} - {_c(0.5 * D.LOG_2PI)}", "-(x - 50) / 400", "-1.0::DOUBLE / 400", "value")
+_density_query("uniform", D.Uniform(-1000, 1e6), _value, f"-{_c(math.log(1e6 + 1000))}", "0.0", "0.0", "value")
+_density_query("gamma", D.Gamma(2.5, 0.1), _x, f"{_c(2.5 * math.log(0.1) - math.lgamma(2.5))} + 1.5 * ln(x) - 0.1::DOUBLE * x", "1.5 / x - 0.1::DOUBLE", "-1.5 / (x * x)")
+_density_query("inverse_gamma", D.InverseGamma(3.0, 2.0), lambda: 1 + _x(), f"{_c(3 * math.log(2.0) - math.lgamma(3.0))} - 4 * ln(x) - 2 / x", "-4 / x + 2 / (x * x)", "4 / (x * x) - 4 / (x * x * x)", "1 + x")
+_density_query("beta", D.Beta(2.0, 3.5), lambda: 0.05 + 0.9 * (1 / (1 + _x())), f"{_c(math.lgamma(5.5) - math.lgamma(2.0) - math.lgamma(3.5))} + ln(x) + 2.5 * ln(1 - x)", "1 / x - 2.5 / (1 - x)", "-1 / (x * x) - 2.5 / ((1 - x) * (1 - x))", "0.05::DOUBLE + 0.9::DOUBLE * (1 / (1 + x))")
+_density_query("lognormal", D.LogNormal(1.0, 2.0), lambda: 1 + _x(), f"-0.5 * ((ln(x) - 1) / 2) * ((ln(x) - 1) / 2) - ln(x) - {_c(math.log(2.0))} - {_c(0.5 * D.LOG_2PI)}", "-(1 + (ln(x) - 1) / 4) / x", "(1 + (ln(x) - 2) / 4) / (x * x)", "1 + x")
+_density_query("student", D.Student(4.0, 50.0, 10.0), _value, f"{_c(math.lgamma(2.5) - math.lgamma(2.0) - 0.5 * math.log(4 * math.pi) - math.log(10.0))} - 2.5 * ln(1 + ((x - 50) / 10) * ((x - 50) / 10) / 4)", "-5 * (x - 50) / (400 + (x - 50) * (x - 50))", "-5 * (400 - (x - 50) * (x - 50)) / ((400 + (x - 50) * (x - 50)) * (400 + (x - 50) * (x - 50)))", "value")
+_density_query("pareto", D.Pareto(2.5, 1.0), lambda: 1 + _x(), f"{_c(math.log(2.5))} - 3.5 * ln(x)", "-3.5 / x", "3.5 / (x * x)", "1 + x")
+
+_PHI = lambda z: f"(exp(-({z}) * ({z}) / 2) / {_c(math.sqrt(2 * math.pi))})"
+_SU = D.SmoothUniform(0.0, 100.0, 30.0)
+_PDF = f"(({D.normal_cdf_sql('(x / 30)')}) - ({D.normal_cdf_sql('((x - 100) / 30)')})) / 100"
+
+
+@query(f"SELECT event_id, {q6(f'ln({_PDF})', 'log_pdf')}, {q6(f'({_PHI("x / 30")} - {_PHI("(x - 100) / 30")}) / 3000 / ({_PDF})', 'd1')} FROM (SELECT event_id, least(x, 150.0) AS x FROM ({EVENTS}))")
+def logpdf_smooth_uniform(spark, d):
+    x = F.least(F.col("x"), F.lit(150.0))
+    return _events(spark, d).select("event_id", r6(_SU.log_pdf(x), "log_pdf"), r6(_SU.d_log_pdf(x), "d1"))
+
+
+def _cdf_query(name: str, c: Callable[[], Column], sql: str):
+    @query(f"SELECT event_id, {q6(sql, 'cdf')} FROM ({EVENTS})", f"cdf_{name}")
+    def run(spark, d):
+        return _events(spark, d).select("event_id", r6(c(), "cdf"))
+
+
+_cdf_query("normal", lambda: D.Normal(50, 20).cdf(_value()), D.normal_cdf_sql("((value - 50) / 20)"))
+_cdf_query("uniform", lambda: D.Uniform(0, 200).cdf(_value()), "least(greatest(value / 200, 0.0), 1.0)")
+_cdf_query("lognormal", lambda: D.LogNormal(1.0, 2.0).cdf(_x()), D.normal_cdf_sql("((ln(x) - 1) / 2)"))
+_cdf_query("pareto", lambda: D.Pareto(2.5, 1.0).cdf(1 + _x()), "1 - pow(1 / (1 + x), 2.5)")
+_G = lambda z: f"(({z}) * ({D.normal_cdf_sql(f'({z})')}) + {_PHI(z)})"
+_cdf_query("smooth_uniform", lambda: _SU.cdf(_x()), f"30 * ({_G('x / 30')} - {_G('(x - 100) / 30')}) / 100")
+
+
+@query(f"SELECT event_id, {q6('2 * pow(1 - u, -0.4)', 'pareto')}, {q6('-3 + u * 8', 'uniform')} FROM (SELECT event_id, x / (1 + x) AS u FROM ({EVENTS}))")
+def quantiles_closed_form(spark, d):
+    u = F.col("x") / (1 + F.col("x"))
+    return _events(spark, d).select("event_id", r6(D.Pareto(2.5, 2.0).quantile(u), "pareto"), r6(D.Uniform(-3, 5).quantile(u), "uniform"))
+
+
+@query()
+def cdf_and_quantile_numeric(spark, d):
+    """Gamma, inverse gamma, beta and Student CDFs of a value, and the quantiles that lead back to it."""
+    rows = _events(spark, d).groupBy(F.round("x", 0).alias("x")).agg(F.count("*").alias("n")).withColumn("x", F.col("x") + 0.5)
+    for name, dist in (("gamma", D.Gamma(2.5, 0.05)), ("student", D.Student(4.0, 50.0, 10.0))):
+        rows = dist.with_quantile(dist.with_cdf(rows, "x", f"{name}_cdf"), f"{name}_cdf", f"{name}_back")
+    return rows
+
+
+_MEAN, _COV = np.array([25.0, 30.0]), np.array([[200.0, 120.0], [120.0, 400.0]])
+
+
+def _m2(mean, cov) -> str:
+    inv = np.linalg.inv(cov)
+    x, y = f"(q - {_c(mean[0])})", f"(p - {_c(mean[1])})"
+    return f"({_c(float(inv[0, 0]))} * {x} * {x} + 2 * {_c(float(inv[0, 1]))} * {x} * {y} + {_c(float(inv[1, 1]))} * {y} * {y})"
+
+
+def _mvn_sql(mean, cov) -> str:
+    return f"(-0.5 * {_m2(mean, cov)} - {_c(0.5 * math.log(np.linalg.det(cov)) + D.LOG_2PI)})"
+
+
+def _mvt_sql(mean, cov, nu) -> str:
+    return f"({_c(math.lgamma((nu + 2) / 2) - math.lgamma(nu / 2) - math.log(nu * math.pi) - 0.5 * math.log(np.linalg.det(cov)))} - {_c((nu + 2) / 2)} * ln(1 + {_m2(mean, cov)} / {_c(nu)}))"
+
+
+def _multi(name: str, dist, sql: str):
+    @query(f"SELECT row_id, {q6(sql, 'log_pdf')} FROM ({NUMBERED})", name)
+    def run(spark, d):
+        return _numbered(spark, d).select("row_id", r6(dist.log_pdf([F.col("q"), F.col("p")]), "log_pdf"))
+
+
+_multi("mvn_logpdf", MultivariateNormal(_MEAN, _COV), _mvn_sql(_MEAN, _COV))
+_multi("mvt_logpdf", MultivariateStudent(_MEAN, _COV, 5.0), _mvt_sql(_MEAN, _COV, 5.0))
+_multi("mixture_logpdf", Mixture([0.3, 0.7], [MultivariateNormal(_MEAN, _COV), MultivariateNormal(_MEAN + 5, _COV * 2)]), f"ln(0.3::DOUBLE * exp({_mvn_sql(_MEAN, _COV)}) + 0.7::DOUBLE * exp({_mvn_sql(_MEAN + 5, _COV * 2)}))")
+_NIW = NormalInverseWishart(_MEAN, 2.0, _COV * 3, 6.0)
+_multi("niw_predictive", _NIW, _mvt_sql(_MEAN, _COV * 3 * 3.0 / (2.0 * 5.0), 5.0))
+
+
+@query(f"SELECT row_id, {q6(f'-0.5 * ((q - 25) / 10) * ((q - 25) / 10) - {_c(math.log(10.0))} - {_c(0.5 * D.LOG_2PI)} + {_c(2 * math.log(0.1) - math.lgamma(2.0))} + ln(1 + p) - 0.1::DOUBLE * (1 + p)', 'log_prior')} FROM ({NUMBERED})")
+def prior_product(spark, d):
+    terms = [(D.Normal(25, 10), F.col("q")), (D.Gamma(2.0, 0.1), 1 + F.col("p")), (None, F.col("d"))]
+    return _numbered(spark, d).select("row_id", r6(D.product_log_prior(terms), "log_prior"))
+
+
+# --- designs, quadrature, derivatives ----------------------------------------------------------------------------
+
+
+def _box_sql(u: list[str]) -> str:
+    return ", ".join(q6(f"{a} + {x} * ({b} - {a})", f"x{k}") for k, (x, a, b) in enumerate(zip(u, ("-1.0::DOUBLE", "0.0::DOUBLE"), ("1.0::DOUBLE", "10.0::DOUBLE"))))
+
+
+_LOW, _HIGH = [-1.0, 0.0], [1.0, 10.0]
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("row_id", r6("x0", "x0"), r6("x1", "x1"))
+
+
+_IDS = "SELECT unnest(range(0, 2000)) AS row_id"
+
+
+@query(f"SELECT row_id, {_box_sql([frame.uniform_sql(42, 'row_id', str(k)) for k in range(2)])} FROM ({_IDS})")
+def grid_monte_carlo(spark, d):
+    return _rounded(design.monte_carlo(spark, 2000, _LOW, _HIGH))
+
+
+@query(f"""WITH r AS (SELECT row_id, row_number() OVER (ORDER BY {frame.mixed_sql(42, 'row_id', '0')}, row_id) - 1 AS r0, row_number() OVER (ORDER BY {frame.mixed_sql(42, 'row_id', '1')}, row_id) - 1 AS r1 FROM ({_IDS}))
+SELECT row_id, {_box_sql([f"((r{k} + {frame.uniform_sql(43, 'row_id', str(k))}) / 2000)" for k in range(2)])} FROM r""")
+def grid_lhs(spark, d):
+    return _rounded(design.latin_hypercube(spark, 2000, _LOW, _HIGH))
+
+
+@query(f"SELECT row_id, {_box_sql(['((row_id // 45 + 0.5::DOUBLE) / 45)', '((row_id % 45 + 0.5::DOUBLE) / 45)'])} FROM (SELECT unnest(range(0, 2025)) AS row_id)")
+def grid_linspaced(spark, d):
+    return _rounded(design.linspaced(spark, 2000, _LOW, _HIGH))
+
+
+@query()
+def grid_sobol(spark, d):
+    return design.sobol(spark, 4096, [0, 0, 0], [1, 1, 1])
+
+
+@query()
+def grid_scrambled_sobol(spark, d):
+    return design.scrambled_sobol(spark, 4096, [0, 0, 0], [1, 1, 1])
+
+
+@query()
+def grid_niederreiter(spark, d):
+    return design.niederreiter(spark, 4096, [0, 0, 0], [1, 1, 1])
+
+
+@query()
+def grid_faure(spark, d):
+    return design.faure(spark, 4096, [0, 0, 0], [1, 1, 1])
+
+
+@query("SELECT * FROM (VALUES ('chebyshev', 0.375::DOUBLE), ('hermite', 3.0::DOUBLE), ('laguerre', 24.0::DOUBLE), ('legendre', 0.2::DOUBLE)) t(basis, fourth_moment)")
+def quadrature_rules(spark, d):
+    """The fourth moment of each basis's density, by a five-point rule."""
+    out = None
+    for b in poly.BASES:
+        part = quadrature.integrate(spark, b, 5, lambda x: x * x * x * x).select(F.lit(b).alias("basis"), r6("integral", "fourth_moment"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT round((1 + 2 + 4) / 3.0::DOUBLE * 2.5::DOUBLE, 6) AS integral")
+def tensor_integral(spark, d):
+    """The mean of x squared times y over [1, 2] x [2, 3]."""
+    return quadrature.tensor_integral(spark, "legendre", 2, 4, lambda x, y: x * x * y, [1.0, 2.0], [2.0, 3.0]).select(r6("integral", "integral"))
+
+
+@query(f"SELECT row_id, round((1 - d) * (1 + t), 4) AS gradient, round(-p * 0.0377::DOUBLE, 4) + 0.0 AS hessian FROM ({NUMBERED})")
+def finite_differences(spark, d):
+    """Of p (1 - d) (1 + t): the derivative by p, and the mixed second derivative by d and t (scaled)."""
+    f = lambda p, d, t: p * (1 - d) * (1 + t)
+    rows = fdiff.gradient(_numbered(spark, d), f, ["p", "d", "t"], 0, 4, 1e-3)
+    rows = fdiff.hessian(rows, f, ["p", "d", "t"], 1, 2, 2, 1e-2)
+    return rows.select("row_id", F.round("gradient", 4).alias("gradient"), (F.round(F.col("hessian") * 0.0377, 4) + 0.0).alias("hessian"))
+
+
+# --- sensitivity and polynomial chaos ----------------------------------------------------------------------------
+
+_HALF = f"(SELECT count(*) // 2 FROM lineitem)"  # noqa: F541
+_AB = f"WITH n AS ({NUMBERED}), ab AS (SELECT a.row_id, a.p AS a0, a.d AS a1, a.t AS a2, b.p AS b0, b.d AS b1, b.t AS b2 FROM n a JOIN n b ON b.row_id = a.row_id + {_HALF} WHERE a.row_id < {_HALF})"
+
+
+def _model(p, d, t):
+    return p * (1 - d) * (1 + t)
+
+
+def _y_sql(took) -> str:
+    x = [f"{'b' if i in took else 'a'}{i}" for i in range(3)]
+    return f"{x[0]} * (1 - {x[1]}) * (1 + {x[2]})"
+
+
+def _halves(spark, d):
+    rows = _numbered(spark, d).select("row_id", F.col("p").alias("x0"), F.col("d").alias("x1"), F.col("t").alias("x2"))
+    half = _t(spark, d, "lineitem").count() // 2
+    return rows.where(F.col("row_id") < half), rows.where(F.col("row_id") >= half).withColumn("row_id", F.col("row_id") - half).where(F.col("row_id") < half)
+
+
+def _saltelli(spark, d, second: bool = False) -> DataFrame:
+    grid = sobol.evaluation_grid(*_halves(spark, d), 3, second)
+    return sobol.centred(sobol.pivoted(grid.withColumn("y", _model(F.col("x0"), F.col("x1"), F.col("x2"))), 3, "y", second), 3, second)
+
+
+def _sobol_sql(second: bool, source: str = "y", by: str = "") -> str:
+    parts = [f"SELECT {by}'first' AS kind, {i} AS i, {i} AS j, avg(y1 * (y{2 + i} - y0)) / any_value(v) AS value FROM {source}" for i in range(3)]
+    parts += [f"SELECT {by}'total' AS kind, {i} AS i, {i} AS j, avg((y0 - y{2 + i}) * (y0 - y{2 + i})) / (2 * any_value(v)) AS value FROM {source}" for i in range(3)]
+    if second:
+        for k, (i, j) in enumerate([(0, 1), (0, 2), (1, 2)]):
+            parts.append(f"SELECT {by}'second' AS kind, {i} AS i, {j} AS j, avg(y1 * (y{5 + k} - y0) - y1 * (y{2 + i} - y0) - y1 * (y{2 + j} - y0)) / any_value(v) AS value FROM {source}")
+    return " UNION ALL ".join(p + (f" GROUP BY {by.rstrip(', ')}" if by else "") for p in parts)
+
+
+def _ys(second: bool) -> str:
+    took = sobol.blocks(3, second)
+    return ", ".join(f"({_y_sql(b)}) - m AS y{k}" for k, b in enumerate(took))
+
+
+_YCTE = lambda second: f"{_AB}, mm AS (SELECT (avg({_y_sql(())}) + avg({_y_sql((0, 1, 2))})) / 2 AS m FROM ab), y0 AS (SELECT row_id, {_ys(second)} FROM ab, mm), vv AS (SELECT var_samp(z) AS v FROM (SELECT y0 AS z FROM y0 UNION ALL SELECT y1 FROM y0)), y AS (SELECT * FROM y0, vv)"
+
+
+@query(f"{_YCTE(False)} SELECT kind, i, j, {q6('value', 'value')} FROM ({_sobol_sql(False)})")
+def sobol_indices_revenue(spark, d):
+    return sobol.indices(_saltelli(spark, d), 3).select("kind", "i", "j", r6("value", "value"))
+
+
+@query(f"{_YCTE(True)} SELECT kind, i, j, {q6('value', 'value')} FROM ({_sobol_sql(True)})")
+def sobol_second_order(spark, d):
+    return sobol.indices(_saltelli(spark, d, True), 3, True).select("kind", "i", "j", r6("value", "value"))
+
+
+@query(f"{_AB} SELECT row_id, block, round(x0, 6) AS x0, round(x1, 6) AS x1, round(x2, 6) AS x2 FROM (" + " UNION ALL ".join(f"SELECT row_id, {k} AS block, " + ", ".join(f"{'b' if i in b else 'a'}{i} AS x{i}" for i in range(3)) + " FROM ab" for k, b in enumerate(sobol.blocks(3, True))) + ")")
+def saltelli_grid(spark, d):
+    return sobol.evaluation_grid(*_halves(spark, d), 3, True).select("row_id", "block", *[r6(f"x{i}", f"x{i}") for i in range(3)])
+
+
+_BI = f"SELECT b, {frame.mixed_sql(5, 'b', 'k')} % {_HALF} AS row_id FROM (SELECT unnest(range(0, 6)) AS b) JOIN (SELECT unnest(range(0, {_HALF})) AS k) ON true"
+
+
+@query(f"""{_YCTE(False).replace('y AS (SELECT * FROM y0, vv)', f'bi AS ({_BI}), yb AS (SELECT b, y0.* FROM bi JOIN y0 USING (row_id)), vb AS (SELECT b, var_samp(z) AS v FROM (SELECT b, y0 AS z FROM yb UNION ALL SELECT b, y1 FROM yb) GROUP BY b), y AS (SELECT yb.*, v FROM yb JOIN vb USING (b))')}
+SELECT kind, i, j, {q6('avg(value)', 'mean')}, round(var_samp(value), 9) AS variance FROM ({_sobol_sql(False, 'y', 'b, ')}) GROUP BY kind, i, j""")
+def sobol_bootstrap(spark, d):
+    pivot = _saltelli(spark, d)
+    index = resample.bootstrap_index(spark, _t(spark, d, "lineitem").count() // 2, 6, seed=5)
+    got = sobol.bootstrap_indices(pivot, index, 3)
+    return got.select("kind", "i", "j", r6("mean", "mean"), F.round("variance", 9).alias("variance"))
+
+
+_BOX = dict(p1=(0.0, 0.0), p2=(60.0, 0.2))
+_X01 = "(2 * q / 60 - 1)", "(2 * d / 0.2::DOUBLE - 1)"
+
+
+@query(f"SELECT row_id, {q6('1.0::DOUBLE', 'f0')}, {q6('x1', 'f1')}, {q6('1.5 * x1 * x1 - 0.5', 'f2')}, {q6('x0', 'f3')}, {q6('x0 * x1', 'f4')}, {q6('1.5 * x0 * x0 - 0.5', 'f5')} FROM (SELECT row_id, {_X01[0]} AS x0, {_X01[1]} AS x1 FROM ({NUMBERED}))")
+def pce_design_matrix(spark, d):
+    m = poly.PolynomialExpansion("legendre", **_BOX, degree=2)
+    return m.design(_numbered(spark, d), ["q", "d"]).select("row_id", *[r6(F.col("phi")[k], f"f{k}") for k in range(6)])
+
+
+def _line_fit(spark, d):
+    rows = _numbered(spark, d)
+    return rows, poly.PolynomialExpansion("legendre", (0.0,), (60.0,), 1).fit(rows, ["q"], "p")
+
+
+_LINE = f"WITH l AS (SELECT row_id, {_X01[0]} AS x, p AS y FROM ({NUMBERED})), f AS (SELECT regr_slope(y, x) AS c1, regr_intercept(y, x) AS c0, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx FROM l), g AS (SELECT *, n * sxx - sx * sx AS det FROM f)"
+
+
+@query(f"{_LINE}, e AS (SELECT sum((y - c0 - c1 * x) * (y - c0 - c1 * x)) / (any_value(n) - 2) AS s2 FROM l, g) SELECT {q6('c0', 'c0')}, {q6('c1', 'c1')}, {q6('s2', 's2')}, {q6('c1 * c1 / 3', 'variance')}, 1.0::DOUBLE AS first_order FROM g, e")
+def pce_fit(spark, d):
+    _, m = _line_fit(spark, d)
+    row = (round(m.coefficients[0], 6), round(m.coefficients[1], 6), round(m.residual_variance, 6), round(m.variance(), 6), round(m.sobol_main()[0], 6))
+    return spark.createDataFrame([row], "c0 double, c1 double, s2 double, variance double, first_order double")
+
+
+@query(f"{_LINE}, e AS (SELECT sum((y - c0 - c1 * x) * (y - c0 - c1 * x)) / (any_value(n) - 2) AS s2 FROM l, g) SELECT row_id, {q6('c0 + c1 * x', 'mean')}, {q6('1000 * s2 * (sxx - 2 * x * sx + n * x * x) / det', 'variance')} FROM l, g, e")
+def pce_predict(spark, d):
+    rows, m = _line_fit(spark, d)
+    return m.predict(rows, ["q"], True).select("row_id", r6("mean", "mean"), r6(1000 * F.col("variance"), "variance"))
+
+
+@query(f"{_LINE}, h AS (SELECT *, (sxx - 2 * x * sx + n * x * x) / det AS lev FROM l, g) SELECT row_id, {q6('1000 * lev', 'leverage')}, {q6('y - (y - c0 - c1 * x) / (1 - lev)', 'loo_mean')} FROM h")
+def pce_loo(spark, d):
+    rows, m = _line_fit(spark, d)
+    return m.predict_loo(rows, ["q"], "p").select("row_id", r6(1000 * F.col("leverage"), "leverage"), r6("loo_mean", "loo_mean"))
+
+
+@query("SELECT 0 AS i, round(1.0::DOUBLE / 3 / (1.0::DOUBLE / 3 + 4.0::DOUBLE / 45 + 0.01::DOUBLE / 9), 6) AS value UNION ALL SELECT 1, round(4.0::DOUBLE / 45 / (1.0::DOUBLE / 3 + 4.0::DOUBLE / 45 + 0.01::DOUBLE / 9), 6)")
+def pce_project_sobol(spark, d):
+    """First-order indices of x + y squared + x y / 10 on [-1, 1] squared, by spectral projection."""
+    m = poly.PolynomialExpansion("legendre", (-1.0, -1.0), (1.0, 1.0), 2).project(spark, lambda x, y: x + y * y + 0.1 * x * y, 4)
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(m.sobol_main())], "i int, value double")
+
+
+# --- kernels, densities, neighbours ------------------------------------------------------------------------------
+
+_NATION = "SELECT n_nationkey AS id, [n_nationkey / 10.0::DOUBLE, n_regionkey::DOUBLE] AS x FROM nation"
+_D2 = "((a.x[1] - b.x[1]) * (a.x[1] - b.x[1]) + (a.x[2] - b.x[2]) * (a.x[2] - b.x[2]))"
+_IP = "(a.x[1] * b.x[1] + a.x[2] * b.x[2])"
+
+
+@query(f"WITH n AS ({_NATION}) SELECT a.id AS i, b.id AS j, {q6(f'2.25 * exp(-0.5 * {_D2} / 0.64)', 'se')}, {q6(f'(1 + sqrt(5 * {_D2}) / 2 + 5 * {_D2} / 12) * exp(-sqrt(5 * {_D2}) / 2)', 'matern')}, {q6(f'{_IP} + 1 / ({_IP} + 1)', 'inner_sum')}, {q6(f'CASE WHEN sqrt({_D2}) < 1e-10 THEN 1.0 ELSE 0.0 END', 'noise')} FROM n a, n b")
+def kernel_gram(spark, d):
+    nation = _t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.array(F.col("n_nationkey") / 10.0, F.col("n_regionkey").cast("double")).alias("x"))
+    pairs = nation.select(F.col("id").alias("i"), F.col("x").alias("x")).join(F.broadcast(nation.select(F.col("id").alias("j"), F.col("x").alias("y"))), F.lit(True))
+    theta, x, y = [1.5, 0.8, 2.0], F.col("x"), F.col("y")
+    return pairs.select("i", "j", r6((K.Constant(0) * K.SquaredExponential(1)).eval(x, y, theta), "se"), r6(K.Matern52(2).eval(x, y, theta), "matern"), r6((K.Linear() + K.Inverse()).eval(x, y, theta), "inner_sum"), r6(K.WhiteNoise().eval(x, y, theta), "noise"))
+
+
+def _balances(spark, d):
+    data = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 1000).alias("x"))
+    return data, _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / 1000).alias("x"))
+
+
+def _kde_query(kernel: str, value: str):
+    z2 = "((c_acctbal - s_acctbal) / 1000 / 0.5 * ((c_acctbal - s_acctbal) / 1000 / 0.5))"
+
+    @query(f"SELECT s_suppkey AS id, {q6(f'avg({value.format(z2)}) / 0.5', 'density')} FROM supplier, customer GROUP BY s_suppkey", f"kde_density_{kernel}")
+    def run(spark, d):
+        data, points = _balances(spark, d)
+        return kde.density(data, points, K.Bandwidth.of(0.5, 1), kernel).select("id", r6("density", "density"))
+
+
+_kde_query("gaussian", f"exp(-0.5 * {{}}) / {_c(math.sqrt(2 * math.pi))}")
+_kde_query("epanechnikov", "0.75 * greatest(1 - {}, 0.0)")
+_kde_query("uniform", "CASE WHEN {} <= 1 THEN 0.5 ELSE 0.0 END")
+
+
+@query(f"WITH l AS ({LINES}), m AS (SELECT stddev_samp(q) AS sq, stddev_samp(p) AS sp, (quantile_cont(q, 0.75) - quantile_cont(q, 0.25)) / 1.34 AS iq, (quantile_cont(p, 0.75) - quantile_cont(p, 0.25)) / 1.34 AS ip, covar_samp(q, p) AS c, pow(count(*), -1.0 / 6) AS f FROM l) SELECT {q6('f * sq', 'scott00')}, {q6('f * c / sq', 'scott10')}, {q6('f * sqrt(sp * sp - c * c / sq / sq)', 'scott11')}, {q6('f * least(sq, iq)', 'silverman0')}, {q6('f * least(sp, ip)', 'silverman1')} FROM m")
+def bandwidth_rules(spark, d):
+    rows = _lines(spark, d)
+    a, b = kde.rule_bandwidth(rows, ["q", "p"], "scott"), kde.rule_bandwidth(rows, ["q", "p"], "silverman")
+    values = [round(float(v), 6) for v in (a[0, 0], a[1, 0], a[1, 1], b[0, 0], b[1, 1])]
+    return spark.createDataFrame([tuple(values)], "scott00 double, scott10 double, scott11 double, silverman0 double, silverman1 double")
+
+
+@query(f"""WITH s AS (SELECT s_acctbal / 1000 AS x, least((row_number() OVER (ORDER BY s_suppkey) - 1) // (count(*) OVER () // 5), 4) AS fold FROM supplier),
+h AS (SELECT unnest([0, 1, 2])::INT AS candidate, unnest([0.25, 0.5, 1.0])::DOUBLE AS h),
+f AS (SELECT candidate, a.x, a.fold, avg(exp(-0.5 * ((a.x - b.x) / h) * ((a.x - b.x) / h)) / {_c(math.sqrt(2 * math.pi))} / h) AS v FROM h, s a JOIN s b ON a.fold <> b.fold GROUP BY candidate, a.x, a.fold)
+SELECT candidate, {q6('avg(ln(v))', 'score')} FROM f GROUP BY candidate""")
+def kde_cv_score(spark, d):
+    _, points = _balances(spark, d)
+    return kde.cv_scores(points, [K.Bandwidth.of(h, 1) for h in (0.25, 0.5, 1.0)], 5).select("candidate", r6("score", "score"))
+
+
+_EDIST = "SELECT a.vec_id AS id, a.label AS own, b.vec_id AS neighbour, b.label AS label, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"
+
+
+@query(f"SELECT id, rank::INT AS rank, neighbour, round(dist, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, neighbour) AS rank FROM ({_EDIST})) WHERE rank <= 5")
+def knn_neighbours(spark, d):
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    return kde.knn(e, e, 5).select("id", "rank", "neighbour", r6("distance", "distance"))
+
+
+@query(f"""WITH s AS (SELECT id, label, avg(exp(-0.5 * dist * dist / 0.25)) AS s FROM ({_EDIST}) GROUP BY id, label)
+SELECT id, label, {q6('s / sum(s) OVER (PARTITION BY id)', 'probability')} FROM s""")
+def kde_classify_loo(spark, d):
+    """Leave-one-out class probabilities of each embedding."""
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.col("label").cast("int").alias("label"))
+    return kde.classify(e, e, K.Bandwidth.of(0.5, 64), leave_out="id").select("id", "label", r6("probability", "probability"))
+
+
+@query(f"""WITH s AS (SELECT id, own, label, avg(exp(-0.5 * dist * dist / 0.25)) AS s FROM ({_EDIST}) GROUP BY id, own, label),
+p AS (SELECT id, own, arg_max(label, s) AS predicted, sum(CASE WHEN label = own THEN s ELSE 0.0 END) / sum(s) AS p FROM s GROUP BY id, own)
+SELECT {q6('avg(CASE WHEN predicted = own THEN 1.0 ELSE 0.0 END)', 'accuracy')}, {q6('avg(ln(p))', 'mean_log')} FROM p""")
+def kde_loo_score(spark, d):
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.col("label").cast("int").alias("label"))
+    p = kde.classify(e, e, K.Bandwidth.of(0.5, 64), leave_out="id").join(e.select("id", F.col("label").alias("own")), "id")
+    own = p.where(F.col("label") == F.col("own"))
+    return own.agg(r6(F.avg((F.col("predicted") == F.col("own")).cast("double")), "accuracy"), r6(F.avg(F.log("probability")), "mean_log"))
+
+
+@query("SELECT vec_id, 0 AS predicted, 0.1::DOUBLE AS p0 FROM embeddings")
+def dummy_classifier(spark, d):
+    return svm.dummy(_t(spark, d, "embeddings"), 10).select("vec_id", "predicted", F.col("probabilities")[0].alias("p0"))
+
+
+# --- clusters ----------------------------------------------------------------------------------------------------
+
+_CENTRES = np.array([[10.0, 20.0], [25.0, 35.0], [40.0, 60.0]])
+_CD = [f"((q - {_c(a)}) * (q - {_c(a)}) + (p - {_c(b)}) * (p - {_c(b)}))" for a, b in _CENTRES]
+_ASSIGNED = f"SELECT *, CASE WHEN {_CD[0]} <= {_CD[1]} AND {_CD[0]} <= {_CD[2]} THEN 0 WHEN {_CD[1]} <= {_CD[2]} THEN 1 ELSE 2 END AS label FROM ({NUMBERED})"
+
+
+@query(f"SELECT label, count(*) AS n, {q6('avg(q)', 'c0')}, {q6('avg(p)', 'c1')} FROM ({_ASSIGNED}) GROUP BY label")
+def kmeans_lloyd_step(spark, d):
+    c, n = cluster.lloyd_step(_lines(spark, d), ["q", "p"], _CENTRES)
+    return spark.createDataFrame([(k, int(n[k]), round(float(c[k, 0]), 6), round(float(c[k, 1]), 6)) for k in range(3)], "label int, n long, c0 double, c1 double")
+
+
+@query(f"SELECT label, count(*) AS n, {q6('sum(q) / 1000', 's0')}, {q6('sum(p) / 1000', 's1')}, {q6('sum(q * p) / 1e6', 'q01')} FROM ({_ASSIGNED}) GROUP BY label")
+def cluster_sufficient_stats(spark, d):
+    rows = cluster.assign(_numbered(spark, d), ["q", "p"], _CENTRES)
+    s = cluster.sufficient_statistics(rows, "label", ["q", "p"])
+    return s.select("label", "n", r6(F.col("s0") / 1000, "s0"), r6(F.col("s1") / 1000, "s1"), r6(F.col("q0_1") / 1e6, "q01"))
+
+
+@query(f"SELECT row_id, ({frame.mixed_sql(42, 'row_id')} % 4)::INT AS label FROM ({NUMBERED})")
+def random_labels(spark, d):
+    return cluster.random_labels(_numbered(spark, d), 4, "row_id").select("row_id", "label")
+
+
+@query(f"""WITH l AS (SELECT * FROM (SELECT *, CASE WHEN p < 2 THEN 7 ELSE label END AS l2 FROM ({_ASSIGNED}))),
+c AS (SELECT l2, count(*) AS n, avg(q) AS cq, avg(p) AS cp FROM l GROUP BY l2), b AS (SELECT *, row_number() OVER (ORDER BY l2) - 1 AS k FROM c WHERE n >= (SELECT count(*) FROM l) // 20),
+d AS (SELECT row_id, k, CASE WHEN l.l2 = b.l2 THEN -1.0 ELSE (q - cq) * (q - cq) + (p - cp) * (p - cp) END AS dd FROM l, b)
+SELECT row_id, arg_min(k, dd)::INT AS new_label FROM d GROUP BY row_id""")
+def nearest_centroid_purge(spark, d):
+    rows = cluster.assign(_numbered(spark, d), ["q", "p"], _CENTRES).withColumn("label", F.when(F.col("p") < 2, 7).otherwise(F.col("label")))
+    return mixture.purge(rows, "label", ["q", "p"], rows.count() // 20, "row_id").select("row_id", F.col("new_label").cast("int").alias("new_label"))
+
+
+_SCORES = f"SELECT row_id AS id, label, score FROM (SELECT row_id, unnest([0, 1, 2])::INT AS label, unnest([-{_CD[0]} / 500, -{_CD[1]} / 500, -{_CD[2]} / 500]) AS score FROM ({NUMBERED}))"
+_SOFT = f"SELECT id, label, exp(score - max(score) OVER (PARTITION BY id)) / 1 AS e FROM ({_SCORES})"
+
+
+def _scores(spark, d) -> DataFrame:
+    rows = _numbered(spark, d)
+    d2 = [sum(((F.col(c) - float(v)) * (F.col(c) - float(v)) for c, v in zip(["q", "p"], centre)), F.lit(0.0)) for centre in _CENTRES]
+    return rows.select(F.col("row_id").alias("id"), F.posexplode(F.array(*[-x / 500 for x in d2])).alias("label", "log_score"))
+
+
+@query(f"SELECT id, label, {q6('e / sum(e) OVER (PARTITION BY id)', 'probability')} FROM ({_SOFT})")
+def cluster_probabilities(spark, d):
+    return mixture.probabilities(_scores(spark, d)).select("id", "label", r6("probability", "probability"))
+
+
+@query(f"WITH p AS (SELECT id, label, e / sum(e) OVER (PARTITION BY id) AS p FROM ({_SOFT})) SELECT a.label, p.label AS other, {q6('avg(p.p)', 'value')} FROM p JOIN ({_ASSIGNED}) a ON a.row_id = p.id GROUP BY a.label, p.label")
+def confusion_matrix(spark, d):
+    labels = cluster.assign(_numbered(spark, d), ["q", "p"], _CENTRES).select(F.col("row_id").alias("id"), "label")
+    return mixture.confusion(mixture.probabilities(_scores(spark, d)), labels).select("label", "other", r6("value", "value"))
+
+
+@query(f"WITH s AS ({_SCORES}), own AS (SELECT id, score AS own FROM s WHERE label = 1), b AS (SELECT id, arg_max(label, score) AS label, max(score) AS best FROM s GROUP BY id) SELECT id, label, {q6('best - own', 'gain')} FROM b JOIN own USING (id) WHERE best > own ORDER BY best - own DESC, id LIMIT 100")
+def deterministic_switches(spark, d):
+    """The 100 rows that gain most by leaving cluster 1 (a top-k report)."""
+    s = _scores(spark, d)
+    current = s.where("label = 1").select("id", "label")
+    return mixture.deterministic_switches(s, current, 100).select("id", F.col("label").cast("int").alias("label"), r6("gain", "gain"))
+
+
+@query()
+def kmeans_fit(spark, d):
+    c, done = cluster.kmeans(_numbered(spark, d), ["q", "p"], 3, "row_id", rounds=30, tol=1e-3)
+    return spark.createDataFrame([(k, float(a), float(b), done) for k, (a, b) in enumerate(c)], "label int, c0 double, c1 double, converged boolean")
+
+
+@query()
+def dpmm_labels(spark, d):
+    """Two chains over the nations' places (key, region)."""
+    nation = _t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.array(F.col("n_nationkey") / 10.0, F.col("n_regionkey").cast("double")).alias("x"))
+    prior = NormalInverseWishart(np.array([1.2, 2.0]), 0.1, np.eye(2) * 0.5, 4.0)
+    return cluster.dpmm(nation, "id", "x", 2, 20, prior)
+
+
+# --- Gaussian processes, optimisation, samplers ------------------------------------------------------------------
+
+
+def _daily(spark, d) -> DataFrame:
+    """Mean event value by hour of the day: (row_id, x, y)."""
+    hours = _t(spark, d, "events").groupBy(F.hour("ts").alias("row_id")).agg(F.avg("value").alias("y"))
+    return hours.select("row_id", F.array(F.col("row_id") / 24.0).alias("x"), "y")
+
+
+def _gp():
+    return gp.GaussianProcess(K.Constant(0) * K.SquaredExponential(1), np.array([1.0, 0.3]), nugget=1e-2, normalize_y=True)
+
+
+@query()
+def gp_posterior(spark, d):
+    rows = _daily(spark, d)
+    m = _gp().fit(*gp.collect_training(rows, "x", "y", "row_id"), [0.05, 0.05], [10.0, 3.0])
+    return m.predict(rows, "x").select("row_id", "y", "mean", "variance")
+
+
+@query()
+def gp_leave_one_out(spark, d):
+    m = _gp().condition(*gp.collect_training(_daily(spark, d), "x", "y", "row_id"))
+    mean, var = m.loo()
+    return spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(mean, var, m.log_likelihood_loo()))], "i int, mean double, variance double, log_density double")
+
+
+@query()
+def multi_gp(spark, d):
+    rows = _t(spark, d, "events").groupBy(F.crc32("event_type").alias("key"), F.hour("ts").alias("row_id")).agg(F.avg("value").alias("y"))
+    rows = rows.select((F.col("key") % 1_000_000).cast("int").alias("output"), "row_id", F.array(F.col("row_id") / 24.0).alias("x"), "y")
+    return gp.fit_many(rows, "output", "x", "y", _gp, [0.05, 0.05], [10.0, 3.0]).select("output", F.col("theta")[0].alias("scale"), F.col("theta")[1].alias("length"), "log_likelihood")
+
+
+@query()
+def optimize_multistart(spark, d):
+    """Rosenbrock's valley under x + y <= 1, from eight starts."""
+    f = optim.Objective(lambda x: -((1 - x[0]) ** 2 + 100 * (x[1] - x[0] ** 2) ** 2), inequalities=[lambda x: x[0] + x[1] - 1])
+    starts = design.monte_carlo(spark, 8, [-2, -2], [2, 2]).select(F.col("row_id").alias("start"), F.array("x0", "x1").alias("x"))
+    return optim.multi_start(starts, f, [-5, -5], [5, 5], "nelder_mead").select("start", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), "value")
+
+
+def _double_well(x):
+    return float(-16 * (x[0] ** 2 - 1) ** 2)
+
+
+@query()
+def mcmc_chains(spark, d):
+    got = mcmc.chains(spark, 4, lambda c, rng: mcmc.adaptive_metropolis(_double_well, [0.5], [[1.0]], 500, rng, burn=500, thin=2, delayed=True))
+    return got.select("chain", "step", F.col("x")[0].alias("x"), "score")
+
+
+@query()
+def evolutionary_chains(spark, d):
+    def sample(c, rng):
+        xs, ss = mcmc.evolutionary(lambda x: float(-8 * (x[0] ** 2 - 1) ** 2), rng.standard_normal((10, 1)), 300, rng)
+        return xs[:, 0], ss[:, 0]
+
+    return mcmc.chains(spark, 2, sample).select("chain", "step", F.col("x")[0].alias("x"), "score")
+
+
+@query()
+def nuts_chains(spark, d):
+    f = lambda x: float(-16 * (x @ x - 1) ** 2)
+    g = lambda x: -64 * (x @ x - 1) * x
+    got = mcmc.chains(spark, 2, lambda c, rng: mcmc.nuts(f, g, [1.0, 0.0], 300, rng, warm=200))
+    return got.select("chain", "step", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), "score")
+
+
+@query(f"WITH g AS (SELECT event_type, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1) SELECT {q6('sqrt((avg(v) + var_samp(m)) / avg(v))', 'r_hat')} FROM g")
+def r_hat(spark, d):
+    return mcmc.r_hat(_t(spark, d, "events"), "event_type", ["value"]).select(r6("r_hat", "r_hat"))
+
+
+@query(f"SELECT event_type AS chain, count(*) AS n, {q6('avg(value)', 'mean')}, {q6('var_samp(value)', 'variance')} FROM events GROUP BY 1")
+def running_moments(spark, d):
+    return mcmc.moments(_t(spark, d, "events").withColumnRenamed("event_type", "chain"), "chain", "value").select("chain", "n", r6("mean", "mean"), r6("variance", "variance"))
+
+
+@query(f"SELECT date_trunc('hour', ts) AS window_start, event_type AS key, count(*) AS n, {q6('avg(value)', 'mean')}, {q6('coalesce(var_samp(value), 0.0)', 'variance')} FROM events GROUP BY 1, 2")
+def windowed_moments(spark, d):
+    got = streaming.windowed_moments(_t(spark, d, "events"), "ts", "event_type", "value")
+    return got.select("window_start", "key", "n", r6("mean", "mean"), r6(F.coalesce("variance", F.lit(0.0)), "variance"))
+
+
+@query()
+def svm_predict(spark, d):
+    """Regions of nations from their keys; the training set is the table."""
+    nation = _t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.array(F.col("n_nationkey") / 10.0, F.col("n_regionkey").cast("double")).alias("x"), "n_regionkey")
+    t = nation.orderBy("id").toArrow()
+    m = svm.SVM(K.SquaredExponential(0), np.array([1.0]), 10.0).condition(np.array(t.column("x").to_pylist()), t.column("n_regionkey").to_numpy())
+    return m.predict(nation, "x").select("id", "n_regionkey", "predicted")
+
+
+@query()
+def bayesian_optimisation(spark, d):
+    """Upper confidence bounds on sin(3x) + cos(5x) / 2 over [-2, 2]: the candidates are scored in Spark."""
+    f = lambda x: np.sin(3 * x) + 0.5 * np.cos(5 * x)
+    xs = np.array([-1.8, -0.9, 0.1, 0.8, 1.7])
+    candidates = design.linspaced(spark, 400, [-2], [2]).select("row_id", F.array("x0").alias("x"))
+    for _ in range(4):
+        m = gp.GaussianProcess(K.Constant(0) * K.SquaredExponential(1), np.array([1.0, 0.4]), nugget=1e-6).condition(xs[:, None], f(xs))
+        ucb = m.predict(candidates, "x").withColumn("ucb", F.col("mean") + 2 * F.sqrt(F.greatest("variance", F.lit(0.0))))
+        best = ucb.orderBy(F.desc("ucb"), "row_id").limit(1).first()
+        xs = np.append(xs, best.x[0])
+    return spark.createDataFrame([(i, float(x), float(f(x))) for i, x in enumerate(xs)], "step int, x double, y double")
+
+
+@query()
+def calibration_posterior(spark, d):
+    """A model's scale and its error's size from the hourly means, by parallel chains."""
+    t = _daily(spark, d).orderBy("row_id").toArrow()
+    x, y = np.array(t.column("x").to_pylist())[:, 0], t.column("y").to_numpy()
+    y = (y - y.mean()) / y.std()
+
+    def score(v):
+        r, s = y - v[0] * np.sin(2 * np.pi * x), math.exp(v[1])
+        return float(-0.5 * (r @ r) / s**2 - len(y) * v[1] - 0.5 * (v @ v))
+
+    got = mcmc.chains(spark, 4, lambda c, rng: mcmc.adaptive_metropolis(score, [0.0, 0.0], np.eye(2) * 0.1, 400, rng, burn=600, thin=3))
+    return got.select("chain", "step", F.col("x")[0].alias("model_scale"), F.exp(F.col("x")[1]).alias("error_std"))
+
+
+@query(f"SELECT s_suppkey AS id, s_acctbal AS a, (s_acctbal / 2)::DOUBLE AS b FROM supplier")  # noqa: F541
+def read_delimited(spark, d):
+    """Lines of numbers, written as text in memory, a comment and a blank line among them, and parsed again."""
+    s = _t(spark, d, "supplier")
+    lines = s.select(F.concat_ws(" ; ", F.col("s_suppkey").cast("string"), F.col("s_acctbal").cast("string"), (F.col("s_acctbal") / 2).cast("string")).alias("value"))
+    noise = spark.createDataFrame([("# a comment",), ("   ",)], "value string")
+    x = delimited.parse(lines.unionByName(noise), "value", ";").where("ok")
+    return x.select(F.col("x")[0].cast("long").alias("id"), F.col("x")[1].alias("a"), F.col("x")[2].alias("b"))
+
+
+@query(f"SELECT row_id, {q6('p', 'p')} FROM ({NUMBERED}) JOIN (SELECT unnest(range(0, {_N} // 3)) * 3 AS row_id) USING (row_id)")
+def slice_by_index(spark, d):
+    rows = _numbered(spark, d)
+    index = spark.range(_t(spark, d, "lineitem").count() // 3).select((F.col("id") * 3).alias("row_id"))
+    return frame.slice_rows(rows, index).select("row_id", r6("p", "p"))

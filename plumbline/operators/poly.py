@@ -2,7 +2,7 @@
 
 Bases are orthogonal against probability densities: Hermite (standard normal), Legendre (uniform on [-1, 1]),
 Chebyshev (arcsine), Laguerre (exponential). Fitting moves only the Gram matrix of the basis to the driver: P(P + 1) / 2
-+ P sums, whatever the number of rows; residuals and leverages are projections with literal arrays.
++ P sums, whatever the number of rows; predictions are matrix products over Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASES = ("hermite", "legendre", "chebyshev", "laguerre")
 
@@ -122,21 +124,56 @@ class PolynomialExpansion:
 
         return replace(self, **values)
 
+    def phi_np(self, x: np.ndarray) -> np.ndarray:
+        """The basis at the rows of x."""
+        each = [evaluate_np(self.basis, self.degree, _canonical_np(self.basis, x[:, k], a, b)) for k, (a, b) in enumerate(zip(self.p1, self.p2, strict=True))]
+        out = np.ones((len(x), len(self.index)))
+        for i, k in enumerate(self.index):
+            for dim, degree in enumerate(k):
+                if degree:
+                    out[:, i] *= each[dim][degree]
+        return out
+
+    def _map(self, df: DataFrame, cols: list[str], added: list[str], f) -> DataFrame:
+        """``df`` with the columns ``added`` = f(phi, batch), in Arrow batches: many terms make matrix products in
+        numpy cheaper than as many expressions."""
+        schema = T.StructType([*[x for x in df.schema if x.name not in added], *[T.StructField(c, T.DoubleType()) for c in added]])
+        kept = [c for c in df.columns if c not in added]
+
+        def run(batches):
+            for b in batches:
+                x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in cols])
+                new = f(self.phi_np(x), b)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *[pa.array(v) for v in new]], schema.fieldNames())
+
+        return df.mapInArrow(run, schema)
+
     def fit(self, df: DataFrame, cols: list[str], y: str) -> PolynomialExpansion:
         """Least squares; rank-deficient designs get the smallest coefficients."""
         size = len(self.index)
-        phi = [F.col("phi")[i] for i in range(size)]
-        rows = self.design(df, cols).select("phi", F.col(y).cast("double").alias("y"))
-        pairs = [(i, j) for i in range(size) for j in range(i, size)]
-        sums = rows.agg(F.count("*"), *[F.sum(phi[i] * phi[j]) for i, j in pairs], *[F.sum(phi[i] * F.col("y")) for i in range(size)]).first()
+        upper = np.triu_indices(size)
+
+        def run(batches):
+            total, seen = np.zeros(len(upper[0]) + size + 1), False
+            for b in batches:
+                x = np.column_stack([b.column(f"x{k}").to_numpy() for k in range(len(cols))])
+                phi = self.phi_np(x)
+                total += np.concatenate([(phi.T @ phi)[upper], phi.T @ b.column("y").to_numpy(), [len(x)]])
+                seen = True
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+
+        rows = df.select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(cols)], F.col(y).cast("double").alias("y"))
+        sums = {r.i: r.v for r in rows.mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+        sums = np.array([sums.get(i, 0.0) for i in range(len(upper[0]) + size + 1)])
         gram = np.zeros((size, size))
-        for (i, j), v in zip(pairs, sums[1 : 1 + len(pairs)]):
-            gram[i, j] = gram[j, i] = v
+        gram[upper] = sums[: len(upper[0])]
+        gram = gram + np.triu(gram, 1).T
         inverse = np.linalg.pinv(gram, hermitian=True)
-        c = inverse @ np.array(sums[1 + len(pairs) :], float)
+        c = inverse @ sums[len(upper[0]) : -1]
         fitted = self._with(coefficients=tuple(map(float, c)), inverse=tuple(tuple(map(float, r)) for r in inverse))
-        rss = fitted.predict(df, cols).agg(F.sum(F.pow(F.col(y) - F.col("mean"), 2))).first()[0]
-        return fitted._with(residual_variance=float(rss) / max(sums[0] - size, 1))
+        rss = fitted.predict(df, cols).agg(F.sum(F.pow(F.col(y) - F.col("mean"), F.lit(2.0)))).first()[0]
+        return fitted._with(residual_variance=float(rss or 0) / max(sums[-1] - size, 1))
 
     def project(self, spark, model, points: int) -> PolynomialExpansion:
         """Spectral projection of the Column function ``model`` by tensor quadrature."""
@@ -168,24 +205,26 @@ class PolynomialExpansion:
                 parts[active[0]] += c * c * self._norm(k)
         return [p / total if total else 0.0 for p in parts]
 
-    def _quadratic(self) -> Column:
-        """phi^T inverse phi of a row."""
-        rows = [F.aggregate(F.zip_with("phi", F.array(*[F.lit(v) for v in r]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for r in self.inverse]
-        return F.aggregate(F.zip_with("phi", F.array(*rows), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
     def predict(self, df: DataFrame, cols: list[str], variance: bool = False) -> DataFrame:
         """``df`` with the mean, and the variance of the mean if asked for."""
-        out = self.design(df, cols)
-        c = F.array(*[F.lit(v) for v in self.coefficients])
-        out = out.withColumn("mean", F.aggregate(F.zip_with("phi", c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-        if variance:
-            out = out.withColumn("variance", self.residual_variance * self._quadratic())
-        return out.drop("phi")
+        c, inverse = np.array(self.coefficients), np.array(self.inverse)
+
+        def values(phi, _):
+            out = [phi @ c]
+            return [*out, self.residual_variance * ((phi @ inverse) * phi).sum(1)] if variance else out
+
+        return self._map(df, cols, ["mean", "variance"] if variance else ["mean"], values)
 
     def predict_loo(self, df: DataFrame, cols: list[str], y: str) -> DataFrame:
-        """``df`` with leverage and the leave-one-out mean."""
-        out = self.design(self.predict(df, cols), cols).withColumn("leverage", self._quadratic())
-        return out.withColumn("loo_mean", F.col(y) - (F.col(y) - F.col("mean")) / (1 - F.col("leverage"))).drop("phi")
+        """``df`` with mean, leverage and the leave-one-out mean."""
+        c, inverse = np.array(self.coefficients), np.array(self.inverse)
+
+        def values(phi, batch):
+            mean, h = phi @ c, ((phi @ inverse) * phi).sum(1)
+            target = batch.column(y).to_numpy(zero_copy_only=False).astype(float)
+            return [mean, h, target - (target - mean) / (1 - h)]
+
+        return self._map(df, cols, ["mean", "leverage", "loo_mean"], values)
 
     def with_observation(self, x: list[float], y: float) -> PolynomialExpansion:
         """The fit after one more point, by a rank-one update of the inverse."""
@@ -209,7 +248,7 @@ class PolynomialExpansion:
         return PolynomialExpansion(r.basis, tuple(r.p1), tuple(r.p2), r.degree, r.q, tuple(r.coefficients), tuple(tuple(x) for x in r.inverse), r.residual_variance)
 
 
-def _canonical_np(basis: str, x: float, p1: float, p2: float) -> float:
+def _canonical_np(basis: str, x, p1: float, p2: float):
     if basis in ("legendre", "chebyshev"):
         return 2 * (x - p1) / (p2 - p1) - 1
     return (x - p1) / p2 if basis == "hermite" else (x - p1) * p2

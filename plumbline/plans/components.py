@@ -11,8 +11,8 @@ from plumbline.plans.lineage import cut
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, label) for every node of an edge; label is one node of its component, the same for all of them.
 
-    Each round lets a node point at the smallest node among itself and its neighbours, shortens the pointers once
-    and contracts the edges to where the pointers lead; the remaining graph shrinks by a factor each round. The
+    Each round lets a node point at the smallest node among itself and its neighbours, doubles the pointers until they
+    lead to an end and contracts the edges to these ends; the remaining graph shrinks by a factor each round. The
     pointers of all rounds are joined at the end, last round first. Loops and repeated edges have no effect, null
     ends are ignored, and an empty edge table gives an empty result.
     """
@@ -23,8 +23,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         point = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
         point = cut(point.select("node", F.least("node", "m").alias("m")))
-        up = point.select(F.col("node").alias("m"), F.col("m").alias("mm"))
-        point = cut(point.join(up, "m").select("node", F.col("mm").alias("m")))
+        while True:
+            up = point.select(F.col("node").alias("m"), F.col("m").alias("mm"))
+            jumped = cut(point.join(up, "m").select("node", F.col("mm").alias("m"), (F.col("mm") != F.col("m")).alias("moved")))
+            point = jumped.select("node", "m")
+            if jumped.where("moved").isEmpty():
+                break
         rounds.append(point)
         pu, pv = (point.select(F.col("node").alias(k), F.col("m").alias(f"m{k}")) for k in "uv")
         e = e.join(pu, "u").join(pv, "v").where("mu <> mv")

@@ -110,7 +110,9 @@ def _train(docs: DataFrame, vocab: Vocabulary, p: gru.Params) -> gru.Params:
         return run
 
     schema = "g int, n bigint, p array<float>"
-    warm = docs.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(WARM_DOCS).select("text").coalesce(1)
+    # Ids first: sorting whole texts for a few of them would bring many to one task.
+    ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS)
+    warm = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").coalesce(1)
     first = map_arrow(warm, learn(WARM_PASSES, RATE, None), schema).collect()  # one row
     if not first:
         return p

@@ -10,7 +10,8 @@ windows of each text; from each, ``tables`` keys of ``SAMPLE`` sampled steps are
 The steps are sampled within 1.5 times the item's words, so the windows of each class of item sizes have tables of
 their own. Windows begin at every ``STRIDE``-th word, and items are indexed from their first ``STRIDE`` words each, so
 an item is aligned with a window wherever it stands. Items of over ``SEGMENT`` words are indexed by segments, one of
-which has no more than its share of the edits.
+which has no more than its share of the edits; those of ``HALVES`` words or more are indexed by their halves too, one of which has no more
+than half of the edits.
 
 Matches of keys are candidates. Each is verified exactly: the least edit distance between the whole item and any
 stretch of the text around the window. More walks and tables raise recall; the tests measure it.
@@ -34,7 +35,8 @@ from plumbline.llm.text import LETTERS, Words, map_arrow, mix, slices
 SIMILARITY = 0.8
 STRIDE = 8
 SEGMENT = 48
-WALKS, TABLES, SAMPLE = 3, 10, 4
+HALVES = 32
+WALKS, TABLES, SAMPLE = 4, 10, 4
 BLOCK = 2_000_000
 CHUNK = 4 << 20
 CLASSES = (1, 2, 4, 8, 12, 16, 24, 32, 48)  # the least words of each class of item sizes
@@ -61,11 +63,12 @@ class Index:
         self.items = [(i, h) for i, h in items if len(h)]
         pieces: dict[int, list[tuple[int, int]]] = {}
         for k, (_, h) in enumerate(self.items):
-            parts = max(1, len(h) // SEGMENT)
-            edges = [len(h) * p // parts for p in range(parts + 1)]
-            for a, b in zip(edges, edges[1:]):
-                for o in range(min(STRIDE, b - a)):
-                    pieces.setdefault(class_of(min(b - a - o, SEGMENT)), []).append((k, a + o))
+            whole = max(1, len(h) // SEGMENT)
+            for parts in {whole, 2 * whole} if len(h) >= HALVES else {whole}:
+                edges = [len(h) * p // parts for p in range(parts + 1)]
+                for a, b in zip(edges, edges[1:]):
+                    for o in range(min(STRIDE, b - a)):
+                        pieces.setdefault(class_of(min(b - a - o, SEGMENT)), []).append((k, a + o))
         rng = np.random.default_rng(_SEED)
         steps = {c: max(1, int(_REACH * n)) for c, n in enumerate(CLASSES)}
         plan = {c: [[np.sort(rng.choice(s, min(SAMPLE, s), replace=False)) for _ in range(TABLES if s > SAMPLE else 1)] for _ in range(WALKS)] for c, s in steps.items()}

@@ -8,8 +8,8 @@ random bit of that word is one. Two sequences at a small edit distance so get ou
 as the walks fall in step again after an edit. ``WALKS`` walks with different random bits are taken over item-sized
 windows of each text; from each, ``tables`` keys of ``SAMPLE`` sampled steps are looked up among those of the items.
 The steps are sampled within 1.5 times the item's words, so the windows of each class of item sizes have tables of
-their own. Windows begin at every ``STRIDE``-th word, and items are indexed from their first ``STRIDE`` words each, so
-an item is aligned with a window wherever it stands. Items of over ``SEGMENT`` words are indexed by segments, one of
+their own. Windows begin at every ``STRIDE``-th word (``SHORT_STRIDE`` for items of under ``SHORT`` words), and items
+are indexed from as many of their first words each, so an item is aligned with a window wherever it stands. Items of over ``SEGMENT`` words are indexed by segments, one of
 which has no more than its share of the edits; those of ``HALVES`` words or more are indexed by their halves too, one of which has no more
 than half of the edits.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.text import LETTERS, Words, map_arrow, mix, slices
 
 SIMILARITY = 0.8
-STRIDE = 8
+STRIDE, SHORT_STRIDE, SHORT = 8, 2, 24
 SEGMENT = 48
 HALVES = 32
 WALKS, TABLES, SAMPLE = 4, 10, 4
@@ -58,8 +58,9 @@ def class_of(n: int) -> int:
 class Index:
     """Keys of the items' windows in all tables."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]], stride: int = STRIDE):
         """items: (item_id, hashes of its words)."""
+        self.stride = stride
         self.items = [(i, h) for i, h in items if len(h)]
         pieces: dict[int, list[tuple[int, int]]] = {}
         for k, (_, h) in enumerate(self.items):
@@ -67,7 +68,7 @@ class Index:
             for parts in {whole, 2 * whole} if len(h) >= HALVES else {whole}:
                 edges = [len(h) * p // parts for p in range(parts + 1)]
                 for a, b in zip(edges, edges[1:]):
-                    for o in range(min(STRIDE, b - a)):
+                    for o in range(min(stride, b - a)):
                         pieces.setdefault(class_of(min(b - a - o, SEGMENT)), []).append((k, a + o))
         rng = np.random.default_rng(_SEED)
         steps = {c: max(1, int(_REACH * n)) for c, n in enumerate(CLASSES)}
@@ -176,18 +177,28 @@ def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
     return [sorted((r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()) for b in range(n)]
 
 
-def hits(part: pa.RecordBatch, index: Index, text: str) -> np.ndarray:
-    """(row, item's place, distance, word where the best stretch ends) of each match in the batch, best of each pair."""
+def hits(part: pa.RecordBatch, indexes: list[Index], text: str) -> tuple[np.ndarray, list]:
+    """((row, place in the list of items, distance, word where the best stretch ends) of each match in the batch, best
+    of each pair; the list of items)."""
     words = Words(part.column(text), table=LETTERS)
     h = words.hashes()
-    nothing = np.zeros((0, 4), np.int64)
-    if not len(h) or not index.items:
-        return nothing
-    per = -(-words.n // STRIDE)
+    items = [x for index in indexes for x in index.items]
+    out, base = [np.zeros((0, 4), np.int64)], 0
+    for index in indexes:
+        if len(h) and index.items:
+            found = _hits(words, h, index)
+            found[:, 1] += base
+            out.append(found)
+        base += len(index.items)
+    return np.concatenate(out), items
+
+
+def _hits(words: Words, h: np.ndarray, index: Index) -> np.ndarray:
+    per = -(-words.n // index.stride)
     doc = np.repeat(np.arange(words.docs), per)
-    start = words.first[doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per))
+    start = words.first[doc] + index.stride * (np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per))
     found = index.candidates(h, start)
-    out = [nothing]
+    out = [np.zeros((0, 4), np.int64)]
     cuts = np.flatnonzero(np.diff(found[:, 0], prepend=-1, append=-1)) if len(found) else np.zeros(0, int)
     for a, b in zip(cuts, cuts[1:]):
         k, begin = int(found[a, 0]), found[a:b, 1]
@@ -207,10 +218,12 @@ def hits(part: pa.RecordBatch, index: Index, text: str) -> np.ndarray:
     return every[keep]
 
 
-def _index(block: list[tuple[int, str]]) -> Index:
+def _index(block: list[tuple[int, str]]) -> list[Index]:
+    """Short items have a closer stride: an offset of a few words would leave too little of them."""
     words = Words(pa.array([t for _, t in block], pa.string()), table=LETTERS)
     h = words.hashes()
-    return Index([(i, h[a:b]) for (i, _), a, b in zip(block, words.first, words.first[1:])])
+    items = [(i, h[a:b]) for (i, _), a, b in zip(block, words.first, words.first[1:])]
+    return [Index([x for x in items if len(x[1]) >= SHORT]), Index([x for x in items if len(x[1]) < SHORT], SHORT_STRIDE)]
 
 
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -224,8 +237,8 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "do
             index = _index(shared.value)
             for batch in batches:
                 for part in slices(batch, "text", CHUNK):
-                    m = hits(part, index, "text")
-                    which = [index.items[k] for k in m[:, 1]]
+                    m, items = hits(part, index, "text")
+                    which = [items[k] for k in m[:, 1]]
                     yield pa.RecordBatch.from_arrays(
                         [part.column("doc_id").take(pa.array(m[:, 0])), pa.array([i for i, _ in which], pa.int64()), pa.array(m[:, 2].astype(np.int32)), pa.array([len(h) for _, h in which], pa.int32()), pa.array(m[:, 3])],
                         ["doc_id", "item_id", "distance", "item_words", "end_word"],
@@ -246,7 +259,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
             for batch in batches:
                 for part in slices(batch, text, CHUNK):
                     keep = np.ones(part.num_rows, bool)
-                    keep[hits(part, index, text)[:, 0]] = False
+                    keep[hits(part, index, text)[0][:, 0]] = False
                     yield part.filter(pa.array(keep))
 
         docs = map_arrow(docs, run, docs.schema)

@@ -196,7 +196,7 @@ def niederreiter_directions(d: int) -> np.ndarray:
             for q in range(e):
                 if row < BITS:
                     for r in range(BITS):
-                        v[k, r] |= np.uint64(a[q + r + (u - e)] << (BITS - 1 - row))
+                        v[k, r] |= np.uint64(a[q + r] << (BITS - 1 - row))
                     row += 1
     return v
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.plans.ranks import global_rank
 
 _M = 2147483648  # modulus of the integer generator below
+_SHIFTS = (32768,)
 
 
 def with_row_id(df: DataFrame, order: list, name: str = "row_id") -> DataFrame:
@@ -25,12 +26,15 @@ def slice_rows(df: DataFrame, indices: DataFrame, row_id: str = "row_id") -> Dat
 
 
 def mixed(seed: int, *ids: Column) -> Column:
-    """An integer in [0, 2**31) from integer columns: rounds of a linear congruential generator with a bit shift
-    between them, in arithmetic that any SQL engine repeats exactly."""
+    """An integer in [0, 2**31) from integer columns: linear congruential steps with the square of the upper bits added
+    between them, as linear steps alone would only shift one id's numbers into another's; in integer arithmetic that
+    any SQL engine repeats exactly."""
     state: Column = F.lit(seed).cast("long")
     for x in ids:
         state = (state * 1103515245 + F.pmod(x.cast("long"), F.lit(_M)) * 12820163 + 12345) % _M
-        state = ((state * 69069 + F.floor(state / 65536).cast("long") + 1) % _M).cast("long")
+        for shift in _SHIFTS:
+            top = F.floor(state / float(shift)).cast("long")
+            state = (state * 69069 + top * top * 40503 + 1) % _M
     return state
 
 
@@ -44,7 +48,9 @@ def mixed_sql(seed: int, *ids: str) -> str:
     state = f"CAST({seed} AS BIGINT)"
     for x in ids:
         state = f"(({state} * 1103515245 + ((CAST({x} AS BIGINT) % {_M} + {_M}) % {_M}) * 12820163 + 12345) % {_M})"
-        state = f"(({state} * 69069 + CAST(floor({state} / CAST(65536 AS DOUBLE)) AS BIGINT) + 1) % {_M})"
+        for shift in _SHIFTS:
+            top = f"CAST(floor({state} / CAST({shift} AS DOUBLE)) AS BIGINT)"
+            state = f"(({state} * 69069 + {top} * {top} * 40503 + 1) % {_M})"
     return state
 
 

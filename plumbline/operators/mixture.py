@@ -84,8 +84,8 @@ def stochastic_switches(probability: DataFrame, uniform: str, id: str = "id") ->
     """(id, label): a draw from each row's probabilities by its uniform number."""
     by = Window.partitionBy(id).orderBy("label")
     rows = probability.withColumn("upto", F.sum("probability").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.max("label").over(Window.partitionBy(id))
-    return rows.where((F.col("upto") > F.col(uniform)) | (F.col("label") == last)).groupBy(id).agg(F.min("label").alias("label"))
+    rows = rows.withColumn("last", F.max("label").over(Window.partitionBy(id)))
+    return rows.where((F.col("upto") > F.col(uniform)) | (F.col("label") == F.col("last"))).groupBy(id).agg(F.min("label").alias("label"))
 
 
 def centroids(df: DataFrame, label: str, cols: list[str]) -> DataFrame:

@@ -195,12 +195,17 @@ def links(docs: DataFrame, hot_words: int = HOT) -> DataFrame:
     hot = frequent(word_counts(docs), hot_words)
     sets = cut(prefixes(docs, hot).groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "words")]))
     pairs = cut(candidates(sets))
+    del sets  # so its checkpoint can go
     keys = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
     whole = cut(complete_sets(docs, keys))
-    with_x = pairs.join(whole.select(F.col("key").alias("x"), F.col("words").alias("wx")), "x")
-    both = with_x.join(whole.select(F.col("key").alias("y"), F.col("words").alias("wy")), "y")
-    common = F.size(F.array_intersect("wx", "wy"))
-    return both.where(9 * common >= 4 * (F.size("wx") + F.size("wy"))).select("x", "y")
+    out = None
+    for k in range(SLICES):  # pairs with complete sets attached are bulky: a part of them at a time
+        with_y = pairs.where(F.pmod("y", F.lit(SLICES)) == k).join(whole.select(F.col("key").alias("y"), F.col("words").alias("wy")), "y")
+        both = with_y.join(whole.select(F.col("key").alias("x"), F.col("words").alias("wx")), "x")
+        common = F.size(F.array_intersect("wx", "wy"))
+        part = cut(both.where(9 * common >= 4 * (F.size("wx") + F.size("wy"))).select("x", "y"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def find(docs: DataFrame, text: str = "text", id: str = "doc_id", hot_words: int = HOT) -> DataFrame:

@@ -173,7 +173,7 @@ class PolynomialExpansion:
         c = inverse @ sums[len(upper[0]) : -1]
         fitted = self._with(coefficients=tuple(map(float, c)), inverse=tuple(tuple(map(float, r)) for r in inverse))
         rss = fitted.predict(df, cols).agg(F.sum(F.pow(F.col(y) - F.col("mean"), F.lit(2.0)))).first()[0]
-        return fitted._with(residual_variance=float(rss or 0) / max(sums[-1] - size, 1))
+        return fitted._with(residual_variance=float(float(rss or 0) / max(sums[-1] - size, 1)))
 
     def project(self, spark, model, points: int) -> PolynomialExpansion:
         """Spectral projection of the Column function ``model`` by tensor quadrature."""

@@ -191,12 +191,22 @@ def _log_output(p: Params, classes: Classes, states: np.ndarray, words: np.ndarr
     return logp
 
 
-def train(p: Params, classes: Classes, texts: list[np.ndarray], rate: float, most: int = 192, steps: int = 16, clip: float = 5.0) -> Params:
-    """One pass over ``texts`` by backpropagation truncated to windows of ``steps`` steps, with Adam's updates."""
+class Adam:
+    """Running averages of gradients and of their squares, and how many updates they hold."""
+
+    def __init__(self, p: Params):
+        self.m, self.v, self.k = [np.zeros_like(a) for a in p.arrays()], [np.zeros_like(a) for a in p.arrays()], 0
+
+
+def train(p: Params, classes: Classes, texts: list[np.ndarray], rate: float, most: int = 192, steps: int = 16, clip: float = 5.0, adam: Adam | None = None) -> Params:
+    """One pass over ``texts`` by backpropagation truncated to windows of ``steps`` steps, with Adam's updates; p is
+    changed in place. ``adam`` carries the averages on from one call to the next."""
+    adam = adam or Adam(p)
+    m, v = adam.m, adam.v
     lay = Layout(texts, most)
     hidden, h0 = len(p.wh), np.zeros((len(lay.n), len(p.wh)), F4)
-    m, v = [np.zeros_like(a) for a in p.arrays()], [np.zeros_like(a) for a in p.arrays()]
-    for k, (_, rows) in enumerate(lay.windows(steps), 1):
+    for _, rows in lay.windows(steps):
+        adam.k += 1
         saved, h = [], h0
         xw, wh = _parts(p.embed @ p.wx + p.b), _parts(p.wh)
         for places in rows:
@@ -241,7 +251,7 @@ def train(p: Params, classes: Classes, texts: list[np.ndarray], rate: float, mos
             g *= F4(factor)
             mm += F4(0.1) * (g - mm)
             vv += F4(0.01) * (g * g - vv)
-            a -= F4(rate) * (mm / F4(1 - 0.9**k)) / (np.sqrt(vv / F4(1 - 0.99**k)) + F4(1e-6))
+            a -= F4(rate) * (mm / F4(1 - 0.9**adam.k)) / (np.sqrt(vv / F4(1 - 0.99**adam.k)) + F4(1e-6))
     return p
 
 

@@ -7,10 +7,10 @@ class-factored softmax. A word outside of it has the probability of ``unknown``
 words outside: (c + 1) / (N' + V' + 1), so the model is a distribution over the same tokens as the base score. A
 document's score is the sum over all its tokens, end included, its state being carried from window to window.
 
-Training: truncated backpropagation in numpy. A first model is trained in one task on at most ``WARM_DOCS`` documents;
-from it, every partition trains its own on one in ``ONE_IN`` of its training documents (by a hash of doc_id, whole
-texts, so what is learned from grows with the input), and the mean of all, weighted by tokens, is the model. Means
-are taken in two levels, so the driver gets ``GROUPS`` models whatever the number of partitions.
+Training: truncated backpropagation in numpy. A first model is trained in one task on at most ``WARM_DOCS`` different rows;
+from it, every partition trains its own on all of its training documents, in chunks of about ``CHUNK_TOKENS`` tokens
+that follow one another, and the mean of all, weighted by tokens, is the model. Means are taken in two levels, so the
+driver gets ``GROUPS`` models whatever the number of partitions.
 
 Scoring is one pass over the texts. Counts of the ``HOT`` most frequent words are broadcast; a text's other words are
 joined with the table of counts by their hash, so no table that grows with the vocabulary is broadcast.
@@ -43,7 +43,6 @@ HIDDEN = 16
 HOT = 1 << 17
 WARM_DOCS = 600
 WARM_PASSES = 3
-ONE_IN = 16
 RATE, RATE_AFTER = 1e-2, 4e-3
 GROUPS = 8
 SEED = 11
@@ -95,31 +94,45 @@ def _train(docs: DataFrame, vocab: Vocabulary, p: gru.Params) -> gru.Params:
     size = len(p.flat())
     shared = spark.sparkContext.broadcast((vocab, p))
 
+    def chunks(batches, vocab):
+        texts, tokens = [], 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                new = vocab.texts(Words(part.column("text")))
+                texts += new
+                tokens += sum(map(len, new))
+                if tokens >= CHUNK_TOKENS:
+                    yield texts
+                    texts, tokens = [], 0
+        if texts:
+            yield texts
+
     def learn(passes, rate, params):
         def run(batches):
             vocab, p = shared.value[0], params.value if params else shared.value[1]
             p = p.like(p.flat())
-            texts = [t for batch in batches for part in slices(batch, "text") for t in vocab.texts(Words(part.column("text")))]
-            n = sum(map(len, texts))
-            if n:
+            n, adam = 0, gru.Adam(p)
+            for texts in chunks(batches, vocab):
+                n += sum(map(len, texts))
                 for k in range(passes):
-                    p = gru.train(p, vocab.classes, texts, rate / (k + 1))
+                    p = gru.train(p, vocab.classes, texts, rate / (k + 1), adam=adam)
+            if n:
                 flat = pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(p.flat().astype(np.float32)))
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([n], pa.int64()), flat], ["g", "n", "p"])
 
         return run
 
     schema = "g int, n bigint, p array<float>"
-    # Ids first: sorting whole texts for a few of them would bring many to one task.
-    ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS)
-    warm = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").coalesce(1)
+    # Keys first: sorting whole texts for a few of them would bring many to one task. Equal rows are one of the warm-up.
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    keys = keyed.select("key").distinct().orderBy("key").limit(WARM_DOCS)
+    warm = keyed.join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")).select("text").coalesce(1)
     first = map_arrow(warm, learn(WARM_PASSES, RATE, None), schema).collect()  # one row
     if not first:
         return p
     p = p.like(np.array(first[0].p, np.float32))
     begun = spark.sparkContext.broadcast(p)
-    sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ONE_IN)) == 0).select("text")
-    models = map_arrow(sampled, learn(1, RATE_AFTER, begun), schema)
+    models = map_arrow(docs.select("text"), learn(1, RATE_AFTER, begun), schema)
 
     def mean(t: pa.Table) -> pa.Table:
         n = t.column("n").to_numpy()

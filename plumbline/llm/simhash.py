@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from plumbline.llm.nearcopies import one_of_each
 from plumbline.llm.text import map_arrow, texts_of
 from plumbline.plans.components import connected_components
 from plumbline.plans.lineage import cut
@@ -109,18 +110,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", hot
     return rows.join(cut(placed), "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without all but one of each component: the row with the smallest id stays.
-
-    Rows that share that id (null included) are one document: the first of them by text stays.
-    """
-    found = near_duplicates(docs, id=id, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
-    kept = cut(kept)
-    many = not kept.where("n > 1").isEmpty() or not kept.groupBy("doc_id").count().where("count > 1").isEmpty()
-    ids = kept.select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(ids, F.col(id).eqNullSafe(F.col("__id")), "left_semi")
-    if not many:
-        return out
-    best = F.min(F.struct(F.col("text"), *[F.col(c) for c in docs.columns if c != "text"])).alias("r")
-    return out.groupBy(F.col(id).alias("__key")).agg(best).select(*[F.col(f"r.{c}") for c in docs.columns])
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without all but one row of each component: the smallest id stays, null last, then the
+    smallest hash of the text. Rows are told apart by id and text, so no other row of that id comes or goes with it."""
+    keyed = docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("text"))
+    found = near_duplicates(keyed, id="k", **options)
+    groups = found.select(F.col("doc_id").alias("k"), F.col("component_id").alias("g")).distinct()
+    return one_of_each(docs, groups, id, text)

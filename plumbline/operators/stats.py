@@ -93,15 +93,26 @@ def lagged_correlation(df: DataFrame, t: str, xs: list[str], lags: list[int], ys
     return rows.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def correlation_length(df: DataFrame, t: str, cols: list[str], max_lag: int) -> DataFrame:
+def correlation_length(df: DataFrame, t: str, cols: list[str], block: int = 40) -> DataFrame:
     """(feature, length, ess): the sum of the lagged self-correlations before the first odd lag at which the sum of a
-    pair of neighbours is negative for some feature; ess = n / (2 max(length) - 1), the same for all features."""
-    rho = lagged_correlation(df, t, cols, list(range(max_lag + 1))).where("i = j").select("lag", F.col("i").alias("feature"), "v")
-    order = Window.partitionBy("feature").orderBy("lag")  # max_lag rows for each feature
-    rho = cut(rho.withColumn("pair", F.col("v") + F.lag("v").over(order)))
-    stops = rho.where("lag % 2 = 1 and pair < 0").agg(F.coalesce(F.min("lag"), F.lit(max_lag + 1)).alias("stop"))
+    pair of neighbours is negative for some feature; ess = n / (2 max(length) - 1), the same for all features.
+
+    Lags 0 to ``block`` are taken first and then ``block`` more at a time, until a stop is found or all n are taken."""
+    rows = cut(df.select(t, *cols))
+    total = rows.count()
+    order = Window.partitionBy("feature").orderBy("lag")  # the lags up to the stop, one row each
+    found, low, high = None, 0, block
+    while True:
+        more = lagged_correlation(rows, t, cols, list(range(low, high + 1))).where("i = j").select("lag", F.col("i").alias("feature"), "v")
+        found = cut(more if found is None else found.unionByName(more))
+        rho = found.withColumn("pair", F.col("v") + F.lag("v").over(order))
+        stop = rho.where("lag % 2 = 1 and pair < 0").agg(F.min("lag")).first()[0]
+        if stop is not None or high >= total - 1:
+            break
+        low, high = high + 1, high + block
+    stops = df.sparkSession.createDataFrame([(high + 1 if stop is None else stop,)], "stop int")
     sums = rho.join(F.broadcast(stops), F.col("lag") < F.col("stop")).groupBy("feature").agg(F.sum("v").alias("length"))
-    n = df.agg(F.count("*").alias("n"))
+    n = rows.agg(F.count("*").alias("n"))
     longest = sums.agg(F.max("length").alias("longest"))
     ess = F.col("n") / (2 * F.col("longest") - 1)
     return sums.join(F.broadcast(longest.join(F.broadcast(n))), F.lit(True)).select("feature", "length", ess.alias("ess"))

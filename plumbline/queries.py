@@ -394,10 +394,12 @@ def quantiles_closed_form(spark, d):
 
 @query()
 def cdf_and_quantile_numeric(spark, d):
-    """Gamma, inverse gamma, beta and Student CDFs of a value, and the quantiles that lead back to it."""
-    rows = _events(spark, d).groupBy(F.round("x", 0).alias("x")).agg(F.count("*").alias("n")).withColumn("x", F.col("x") + 0.5)
-    for name, dist in (("gamma", D.Gamma(2.5, 0.05)), ("student", D.Student(4.0, 50.0, 10.0))):
-        rows = dist.with_quantile(dist.with_cdf(rows, "x", f"{name}_cdf"), f"{name}_cdf", f"{name}_back")
+    """Gamma, inverse gamma, beta and Student CDFs of each event's own value, and the quantiles that lead back to it.
+
+    The beta distribution is that of u, which is in its support. Where a CDF rounds to 0 or 1 nothing leads back."""
+    rows = _events(spark, d).select("event_id", "x", (0.05 + 0.9 * (1 / (1 + F.col("x")))).alias("u"))
+    for name, dist, x in (("gamma", D.Gamma(2.5, 0.05), "x"), ("inverse_gamma", D.InverseGamma(3.0, 2.0), "x"), ("beta", D.Beta(2.0, 3.5), "u"), ("student", D.Student(4.0, 50.0, 10.0), "x")):
+        rows = dist.with_quantile(dist.with_cdf(rows, x, f"{name}_cdf"), f"{name}_cdf", f"{name}_back")
     return rows
 
 

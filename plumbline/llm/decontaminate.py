@@ -18,9 +18,10 @@ stretch of the text around the window. More walks and tables raise recall; the t
 
 Nothing is shuffled. Items are collected in blocks of at most ``BLOCK`` words, each a pass of its own over the texts.
 
-Edge cases: items without words match nothing; null or empty texts are clean; an item of up to 4 words must occur as
-it is; repeated rows are judged alike, each for itself; repeated items are items of their own; empty tables of texts
-or items give an empty result, or keep every text; extra columns pass through clean().
+Edge cases: items without words match nothing; an item without an id matches, with null as item_id; null or empty
+texts are clean; an item of up to 4 words must occur as it is; repeated rows are judged alike, each for itself;
+repeated items are items of their own; empty tables of texts or items give an empty result, or keep every text; extra
+columns pass through clean().
 """
 
 from __future__ import annotations
@@ -170,11 +171,12 @@ def verify(item: np.ndarray, h: np.ndarray, begin: np.ndarray, low: np.ndarray,
     return far, stop
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    rows = items.where("item_id is not null and text is not null").select("item_id", "text")
+def _blocks(items: DataFrame) -> list[list[tuple[int | None, str]]]:
+    rows = items.where("text is not null").select("item_id", "text")
     words = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n = -(-words // (4 * BLOCK)) or 1
-    return [sorted((r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()) for b in range(n)]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    return [sorted(((r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()), key=order) for b in range(n)]
 
 
 def hits(part: pa.RecordBatch, indexes: list[Index], text: str) -> tuple[np.ndarray, list]:

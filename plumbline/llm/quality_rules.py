@@ -28,6 +28,8 @@ from plumbline.plans.lineage import cut
 THRESHOLD = 0.5
 MIN_WORDS = 20
 WRONG = 0.02
+#: Words in which the variety of a text is measured, so that it does not depend on the text's length.
+PASSAGE = 2000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = ("symbols", "word_length", "lines", "windows", "variety", "capitals", "endings", "bare", "shouts")
 
@@ -40,10 +42,24 @@ def _vote(good: np.ndarray, bad: np.ndarray, can: np.ndarray) -> np.ndarray:
     return np.where(can & bad, -1, np.where(can & good, 1, 0)).astype(np.int8)
 
 
+def _repeats(w: Words, h: np.ndarray) -> np.ndarray:
+    """The share of each text's words that occur more than once (as ts.repeats counts) in a passage of ``PASSAGE``
+    words, the mean over its passages; the last one ends with the text, a shorter text is one passage."""
+    k = np.maximum(-(-w.n // PASSAGE), 1)
+    doc = np.repeat(np.arange(w.docs), k)
+    size = np.minimum(w.n, PASSAGE)[doc]
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(k) - k, k)
+    begin = w.first[doc] + np.minimum(place * PASSAGE, np.maximum(w.n - PASSAGE, 0)[doc])
+    passage = np.repeat(np.arange(len(doc)), size)
+    at = np.arange(len(passage)) + np.repeat(begin - (np.cumsum(size) - size), size)
+    again = np.bincount(passage[ts.repeats(passage, h[at])], minlength=len(doc))
+    return np.bincount(doc, _share(again, size), w.docs) / k
+
+
 def measure(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """(the base counts, the votes: a row for each text and a column for each rule)."""
     w = Words(column, lower=False)
-    h, doc, n = w.hashes(), w.doc(), w.n
+    h, n = w.hashes(), w.n
     word_chars = w.sums(ts.chars_in_words(w))
     symbols = w.text_counts(ts.IS_SYMBOL[w.data])
     line_doc, start, end = ts.lines(w)
@@ -51,7 +67,7 @@ def measure(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     n_lines = np.bincount(line_doc, minlength=w.docs)
     dup_lines = np.bincount(line_doc[dup], minlength=w.docs)
     in_windows = w.sums(ts.repeated_words(w, h).astype(np.int64))
-    known = w.sums(ts.repeats(doc, h).astype(np.int64))
+    known = _repeats(w, h)
     upper, lower = w.text_counts(ts.IS_UPPER[w.data]), w.text_counts(ts.IS_LOWER[w.data])
     letters = ts.running(ts.IS_LETTERISH[w.data])
     bare = w.sums((letters[w.end] == letters[w.start]).astype(np.int64))
@@ -65,7 +81,7 @@ def measure(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
         _vote((length > 2.5) & (length < 11), (length < 2) | (length > 14), some),
         _vote(_share(dup_lines, n_lines) < 0.05, _share(dup_lines, n_lines) > 0.3, n_lines >= 4),
         _vote(_share(in_windows, n) < 0.1, _share(in_windows, n) > 0.25, many),
-        _vote(_share(known, n) < 0.5, _share(known, n) > 0.75, many & (n <= 2000)),
+        _vote(known < 0.5, known > 0.75, many),
         _vote(_share(upper, upper + lower) < 0.2, _share(upper, upper + lower) > 0.5, upper + lower >= 20),
         _vote(_share(closed, n_lines) > 0.5, _share(closed, n_lines) < 0.1, many),
         _vote(_share(bare, n) < 0.03, _share(bare, n) > 0.15, some),

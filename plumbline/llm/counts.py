@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.text import Words, map_arrow, slices
 
-FLUSH = 1 << 20
+FLUSH = 1 << 21
 
 
-def word_counts(docs: DataFrame, text: str = "text", end: int | None = None) -> DataFrame:
-    """(h, c) for each distinct word, A-Z lower-cased; ``end``: a hash that is counted once for each text."""
+def word_counts(docs: DataFrame, text: str = "text", end: int | None = None, least: int = 1) -> DataFrame:
+    """(h, c) for each distinct word, A-Z lower-cased; ``end``: a hash that is counted once for each text. ``least``: a
+    word that a task's FLUSH words have less often is not counted there, where only the frequent ones matter."""
 
     def run(batches):
         waiting, n, texts = [], 0, 0
 
         def flush():
             h, c = np.unique(np.concatenate(waiting), return_counts=True)
+            if least > 1:
+                h, c = h[c >= least], c[c >= least]
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
         for batch in batches:
@@ -53,22 +56,23 @@ class Lookup:
     """Places of hashes in a sorted array: a table by the hash's first bits says where to begin."""
 
     def __init__(self, sorted_hashes: np.ndarray, bits: int = 19):
-        self.h, self.shift = sorted_hashes, np.uint64(64 - bits)
-        begin = np.searchsorted(sorted_hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift)
-        self.begin = begin.astype(np.int32)
-        self.deep = int(np.diff(np.append(begin, len(sorted_hashes))).max()) if len(sorted_hashes) else 0
-        self.end = np.append(sorted_hashes, np.zeros(self.deep + 1, np.uint64))
-        self.empty_zero = not len(sorted_hashes)
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(sorted_hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.h = np.append(sorted_hashes, np.uint64((1 << 64) - 1))
+        self.last = len(sorted_hashes)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash, or -1."""
-        out = np.full(len(h), -1, np.int32)
-        if self.empty_zero:
-            return out
-        at = self.begin[(h >> self.shift).astype(np.int64)]
-        for _ in range(self.deep):
-            hit = self.end[at] == h
-            hit &= at < len(self.h)
-            np.copyto(out, at, where=hit)
-            at += 1
+        at = self.begin[(h >> self.shift).view(np.int64)]
+        there = self.h[at]
+        out = np.where(there == h, at, np.int32(-1))
+        rest = np.flatnonzero(there < h)
+        at = at[rest]
+        while len(rest):  # what comes further on in the bucket
+            at = at + np.int32(1)
+            there, mine = self.h[at], h[rest]
+            out[rest[there == mine]] = at[there == mine]
+            more = there < mine
+            rest, at = rest[more], at[more]
+        out[out == self.last] = -1
         return out

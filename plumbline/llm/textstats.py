@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from plumbline.llm.text import Words, mix, powers
+from plumbline.llm.text import Words, mix
+from plumbline.llm.text import span_hashes as spans
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -47,10 +48,7 @@ def lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def span_hashes(words: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    p, q = powers(len(words.data) + 1)
-    total = np.zeros(len(words.data) + 1, np.uint64)
-    np.cumsum((words.data.astype(np.uint64) + np.uint64(1)) * p[: len(words.data)], out=total[1:])
-    return mix((total[end] - total[start]) * q[np.minimum(start, len(q) - 1)] + (end - start).astype(np.uint64))
+    return spans(words.padded, start, end - start)
 
 
 def repeats(doc: np.ndarray, h: np.ndarray) -> np.ndarray:

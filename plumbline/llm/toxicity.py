@@ -7,16 +7,18 @@ model does not learn to trust an earlier one more than it deserves on new texts.
 A text's features are the hashes of its distinct words and of their first bytes (``PREFIX``), words being split at
 white space and ASCII punctuation and A-Z lower-cased. Whole texts are read, whatever their length.
 
-Labels: the table has one human label, toxic. Two finer categories come before it in the chain: a labelled toxic text
-belongs to one of ``LEXICON`` if it has one of its words. The last link, toxic, learns from the human label alone.
+Labels: the table has one human label, toxic. The finer categories before it in the chain are kinds of toxic texts
+that are found in the labelled ones: spherical k-means over the words that set toxic texts apart, weighted by their
+rarity. No word is written down here. The last link, toxic, learns from the human label alone.
 
-Models are fitted on the driver from at most ``max_train`` labelled texts (by the order of a hash of doc_id, half of
-them toxic if there are so many, weighted back to the share of toxic texts among all labels); all else covers all rows.
+Models are fitted on the driver from at most ``max_train`` labelled documents (by the order of a hash of doc_id, half
+of them toxic if there are so many, weighted back to the share of toxic ones among all labels); all else covers all rows.
 
 Edge cases: a null or empty text has no features and gets the intercept's probabilities; without any labelled row, or
 with labels of one kind only, every category has the share seen (zero without labels); rows of labels with a null
-doc_id or label are not used; repeated labels of a document count as often as they occur; extra columns pass through,
-and a column that has the name of an output is replaced.
+doc_id or label are not used; repeated labels count once, and of several texts with one doc_id the one with the
+smallest hash is learned from; an empty table gives an empty result; extra columns pass through, and a column that has
+the name of an output is replaced.
 """
 
 from __future__ import annotations
@@ -32,15 +34,14 @@ from pyspark.sql import types as T
 from plumbline.llm.linear import Rows, fit_logistic, sigmoid
 from plumbline.llm.text import LETTERS, Words, map_arrow, slices
 
-LEXICON = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid"),
-    "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting"),
-}
-CHAIN = (*LEXICON, "toxic")
+KINDS = 2
+CHAIN = (*[f"kind_{k + 1}" for k in range(KINDS)], "toxic")
 PREFIX = 5
 MAX_TRAIN = 5000
 FOLDS = 3
 FEATURES = 8192
+#: Features in which kinds of toxic texts are told apart.
+KIND_FEATURES = 512
 THRESHOLD = 0.35
 L2 = 2e-5
 _BITS = 20
@@ -81,19 +82,15 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([doc, doc[long]]), np.concatenate([words.hashes(), words.hashes(PREFIX)[long] ^ _SALT])
 
 
-def _lexicon_hashes() -> list[np.ndarray]:
-    return [Words(pa.array(list(LEXICON[c]))).hashes() for c in LEXICON]
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(features of each text, its toxic label, its weight) of the sample."""
-    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).alias("y"))
+    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).alias("y")).distinct()
     share = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     half = max_train // 2
     take = {True: max(half, max_train - share.get(False, 0)), False: max(half, max_train - share.get(True, 0))}
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(min(n, max_train)) for y, n in take.items()]
     picked = F.broadcast(parts[0].unionByName(parts[1]))  # max_train rows at most
-    rows = docs.select("doc_id", "text").join(picked, "doc_id")
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def extract(batches):
         for batch in batches:
@@ -120,6 +117,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> tuple[l
     return x, y, weight
 
 
+def kinds(rows: list[np.ndarray], telling: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """The kind of each row by spherical k-means over the columns ``telling``. The first centre is the first row with
+    the most of them, each next one the row that is farthest from all before; rows without any are of kind 0."""
+    x = np.stack([np.isin(telling, r) for r in rows]).astype(np.float32)
+    x *= np.log((len(rows) + 1) / (x.sum(0) + 1)).astype(np.float32) + np.float32(0.1)
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), np.float32(1e-9))
+    at = [int(np.argmax((x > 0).sum(1)))] if x.shape[1] else [0]
+    while len(at) < KINDS:
+        at.append(int(np.argmin((x @ x[at].T).max(1))))
+    centre, kind = x[at], np.zeros(len(x), int)
+    for _ in range(rounds):
+        new = np.argmax(x @ centre.T, 1)
+        if (new == kind).all():
+            break
+        kind = new
+        for k in range(KINDS):
+            if (kind == k).any():
+                mean = x[kind == k].sum(0)
+                centre[k] = mean / max(float(np.sqrt((mean * mean).sum())), 1e-9)
+    return kind
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain:
     x, toxic, weight = training_rows(docs, labels, max_train)
     order = sorted(range(len(x)), key=lambda i: (toxic[i], len(x[i]), x[i].tobytes()))  # not by arrival
@@ -129,8 +148,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain
         p = float(toxic[0]) if len(x) else 0.0
         b = 40.0 if p else -40.0
         return Chain(CHAIN, nothing, [(np.zeros(0), np.zeros(k), b) for k in range(len(CHAIN))])
-    lex = _lexicon_hashes()
-    y = np.column_stack([*[toxic * [bool(np.isin(h, lx).any()) for h in x] for lx in lex], toxic])
     every = np.concatenate(x)
     hashes, back = np.unique(every, return_inverse=True)
     pos = np.bincount(back, np.repeat(toxic, [len(h) for h in x]), len(hashes))
@@ -138,13 +155,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain
     rate = toxic.mean()
     z = np.abs(pos - df * rate) / np.sqrt(df * rate * (1 - rate))
     good = np.flatnonzero((df >= 3) & (z >= 2.5))
-    good = np.sort(good[np.argsort(-z[good], kind="stable")[:FEATURES]])
-    chosen = hashes[good]
+    good = good[np.argsort(-z[good], kind="stable")[:FEATURES]]
+    telling = np.zeros(len(hashes), bool)
+    telling[[i for i in good if pos[i] > df[i] * rate][:KIND_FEATURES]] = True
+    good = np.sort(good)
+    chosen, telling = hashes[good], np.flatnonzero(telling[good])
     blank = Chain(CHAIN, chosen, [])
     rows = [np.unique(i[i >= 0]) for i in (blank.find(h) for h in x)]
     fold = np.arange(len(x)) % FOLDS
     parts = [(np.flatnonzero(fold != k), np.flatnonzero(fold == k)) for k in range(FOLDS)]
     sparse = Rows(rows, len(chosen))
+    kind = np.full(len(x), -1)
+    kind[toxic == 1] = kinds([r for r, t in zip(rows, toxic) if t], telling)
+    y = np.column_stack([*[kind == k for k in range(KINDS)], toxic]).astype(float)
     before, models = np.zeros((len(x), 0)), []
     for c in range(len(CHAIN)):
         models.append(fit_logistic(sparse, before, y[:, c], weight, L2))

@@ -44,15 +44,30 @@ def covariance_array(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.nda
 def quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
     """(q, value): quantiles by linear interpolation at (n - 1) q, exact at any size.
 
-    The values are ranked by a range shuffle and only the neighbours of the wanted places are kept, so no task holds
-    a table of all distinct values.
+    Equal values are counted first, so a value that many rows share is one row of the ranking; the places are found in
+    the running counts of a range shuffle, so no task holds a table of all distinct values.
     """
-    ranked = cut(global_rank(df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v")), [F.col("v")], "r"))
-    n = ranked.count()
-    wanted = df.sparkSession.createDataFrame([(float(q), int(np.floor((n - 1) * q)), float((n - 1) * q)) for q in probs if n], "q double, low bigint, at double")
-    near = ranked.join(F.broadcast(wanted), (F.col("r") == F.col("low")) | (F.col("r") == F.col("low") + 1))
-    grouped = near.groupBy("q", "low", "at").agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    return grouped.select("q", (F.col("a") + (F.col("at") - F.col("low")) * (F.col("b") - F.col("a"))).alias("value"))
+    values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    placed = cut(running_count(values, "v", "c"))
+    n = placed.agg(F.max("upto")).first()[0] or 0
+    wanted = [(float(q), int(np.floor((n - 1) * q)), float((n - 1) * q)) for q in probs if n]
+    places = F.array(*[F.lit(k) for _, low, _ in wanted for k in (low, low + 1)]) if wanted else F.array().cast("array<int>")
+    hit = F.filter(F.array_distinct(places), lambda k: (k >= F.col("upto") - F.col("c")) & (k < F.col("upto")))
+    at = {r.k: r.v for r in placed.select("v", F.explode(hit).alias("k")).collect()}  # two places for each probability
+    rows = [(q, at[low] + (where - low) * (at.get(low + 1, at[low]) - at[low])) for q, low, where in wanted]
+    return df.sparkSession.createDataFrame(rows, "q double, value double")
+
+
+def running_count(values: DataFrame, v: str, c: str) -> DataFrame:
+    """``values`` with upto: the sum of c over all rows whose v is not greater. Rows are range-partitioned; only one sum
+    for each partition is added up globally."""
+    spark = values.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = Window.partitionBy("__part").orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
+    rows = cut(values.repartitionByRange(n, v).withColumn("__part", F.spark_partition_id()))
+    sums = rows.groupBy("__part").agg(F.sum(c).alias("s")).orderBy("__part").collect()  # a row for each partition
+    before = spark.createDataFrame([(r["__part"], int(sum(x.s for x in sums[:k]))) for k, r in enumerate(sums)], "__part int, __before bigint")
+    return rows.join(F.broadcast(before), "__part").withColumn("upto", F.sum(c).over(own) + F.col("__before")).drop("__part", "__before")
 
 
 def inter_quantile_range(df: DataFrame, cols: list[str], low: float, high: float) -> DataFrame:

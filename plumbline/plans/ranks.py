@@ -14,15 +14,19 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "row_id", by: li
     """Append ``name``: the 0-based place of each row in the total order ``order`` (within each value of ``by``).
 
     Rows are range-partitioned, sorted locally and counted per partition; only the counts (one row for each
-    partition and value of ``by``, which should be few) are summed up globally. Ties are broken by ``order`` alone,
-    so pass a total order if the ranks of tied rows must be the same on every run.
+    partition and value of ``by``, which should be few) are summed up globally. Tied rows are dealt by their place in
+    the input, so a value that many rows share does not go to one task; pass a total order if their ranks must be the
+    same on every run.
     """
     by = by or []
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in by] + order
     placed = cut(
-        df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+        df.withColumn("__tie", F.monotonically_increasing_id())
+        .repartitionByRange(n, *keys, F.col("__tie"))
+        .sortWithinPartitions(*keys, "__tie")
+        .withColumn("__at", F.monotonically_increasing_id())
     )
     placed = placed.withColumn("__part", F.shiftright("__at", _ROW_BITS)).withColumn(
         "__row", F.col("__at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))

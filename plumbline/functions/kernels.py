@@ -294,7 +294,10 @@ class Bandwidth:
 
     def z2_np(self, x, y):
         a, b = x @ self.inverse.T, y @ self.inverse.T
-        return ((a[:, None, :] - b[None, :, :]) ** 2).sum(-1)
+        out = np.zeros((len(a), len(b)))
+        for k in range(a.shape[1]):  # no array of rows x rows x columns
+            out += (a[:, k, None] - b[None, :, k]) ** 2
+        return out
 
     def params(self) -> np.ndarray:
         return self.matrix[np.tril_indices(len(self.lower))]

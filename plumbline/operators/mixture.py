@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.distributions import LOG_2PI
 from plumbline.operators.poly import PolynomialExpansion
 
+MAX_CLUSTERS = 1000
+
 
 def fit_groups(df: DataFrame, label: str, id: str, x: str, y: str, make, low, high, method: str = "mle") -> DataFrame:
     """(label, theta, x, y): a Gaussian process for each cluster, one task each."""
@@ -95,15 +97,13 @@ def centroids(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
 def purge(df: DataFrame, label: str, cols: list[str], least: int, id: str = "id") -> DataFrame:
     """``df`` with ``new_label``: rows of clusters with fewer than ``least`` rows go to the nearest centroid of the
     others; labels are renumbered from 0 without gaps. The centroids are a row for each cluster."""
-    c = centroids(df, label, cols)
-    big = c.where(F.col("n") >= least)
-    renumbered = F.broadcast(big.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label")) - 1))
-    d2 = sum((F.pow(F.col(x) - F.col(f"c{i}"), 2) for i, x in enumerate(cols)), F.lit(0.0))
-    stay = F.when(F.col(label) == F.col("label_"), -1.0).otherwise(d2)
-    table = renumbered.withColumnRenamed("label", "label_")
-    rows = df.join(table, F.lit(True))
-    best = rows.groupBy(id).agg(F.min(F.struct(stay.alias("d"), F.col("k").alias("k"))).alias("b"))
-    return df.join(best.select(id, F.col("b.k").alias("new_label")), id)
+    c = centroids(df, label, cols).where(F.col("n") >= least).orderBy("label").limit(MAX_CLUSTERS + 1).collect()
+    if len(c) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    d2 = lambda r: sum((F.pow(F.col(x) - float(r[f"c{i}"]), 2) for i, x in enumerate(cols)), F.lit(0.0))
+    near = [F.struct(F.when(F.col(label) == r["label"], -1.0).otherwise(d2(r)).alias("d"), F.lit(k).alias("k")) for k, r in enumerate(c)]
+    best = F.array_min(F.array(*near)).k if near else F.lit(None).cast("int")
+    return df.withColumn("new_label", best)
 
 
 def merge(df: DataFrame, label: str, a: int, b: int, name: str = "new_label") -> DataFrame:

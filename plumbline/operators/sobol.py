@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.plans.lineage import cut
+
 
 def blocks(d: int, second: bool = False) -> list[tuple[int, ...]]:
     """The dimensions that each block takes from B: A none, B all, then AB_i, then AB_ij."""
@@ -28,6 +30,15 @@ def pivoted(evaluated: DataFrame, d: int, y: str = "y", second: bool = False) ->
     return evaluated.groupBy("row_id").agg(*[F.max(F.when(F.col("block") == k, F.col(y))).alias(f"y{k}") for k in range(n)])
 
 
+def evaluated(a: DataFrame, b: DataFrame, d: int, model, second: bool = False) -> DataFrame:
+    """(row_id, y0 ..): the values of ``model`` (of Columns x0 .. a Column) in all blocks side by side, from one join of
+    the designs; the same as pivoted() of evaluation_grid() without its rows and shuffle."""
+    names = [f"x{k}" for k in range(d)]
+    pair = a.select("row_id", *[F.col(c).alias(f"a_{c}") for c in names]).join(b.select("row_id", *[F.col(c).alias(f"b_{c}") for c in names]), "row_id")
+    ys = [model(*[F.col(f"b_{c}" if i in took else f"a_{c}") for i, c in enumerate(names)]).alias(f"y{k}") for k, took in enumerate(blocks(d, second))]
+    return cut(pair.select("row_id", *ys))
+
+
 def _indices(grouped, d: int, second: bool):
     """Aggregates of a grouped pivoted table, all in one pass."""
     n, s, q = F.count("*") * 2, F.sum(F.col("y0") + F.col("y1")), F.sum(F.col("y0") * F.col("y0") + F.col("y1") * F.col("y1"))

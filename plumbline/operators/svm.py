@@ -77,15 +77,22 @@ def platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def couple(r: np.ndarray) -> np.ndarray:
     """Class probabilities (rows, k) from pairwise ones r[row, i, j] = P(i | i or j), by Wu, Lin and Weng."""
     n, k, _ = r.shape
-    out = np.full((n, k), 1 / k)
-    for row in range(n):
-        q = -r[row].T * r[row]
-        np.fill_diagonal(q, 0)
-        q[np.diag_indices(k)] = [(r[row, :, i] ** 2).sum() - r[row, i, i] ** 2 for i in range(k)]
-        system = np.block([[q + 1e-12 * np.eye(k), np.ones((k, 1))], [np.ones((1, k)), np.zeros((1, 1))]])
-        p = np.maximum(np.linalg.lstsq(system, np.append(np.zeros(k), 1), rcond=None)[0][:k], 0)
-        out[row] = p / p.sum() if p.sum() > 0 else 1 / k
-    return out
+    q = -np.transpose(r, (0, 2, 1)) * r
+    own = (r**2).sum(1) - np.einsum("nii->ni", r) ** 2
+    system = np.zeros((n, k + 1, k + 1))
+    system[:, :k, :k] = q
+    at = np.arange(k)
+    system[:, at, at] = own + 1e-12
+    system[:, :k, k] = system[:, k, :k] = 1
+    right = np.zeros((n, k + 1, 1))
+    right[:, k] = 1
+    try:
+        p = np.linalg.solve(system, right)[:, :k, 0]
+    except np.linalg.LinAlgError:
+        p = (np.linalg.pinv(system) @ right)[:, :k, 0]
+    p = np.maximum(p, 0)
+    total = p.sum(1, keepdims=True)
+    return np.where(total > 0, p / np.where(total > 0, total, 1), 1 / k)
 
 
 @dataclass
@@ -152,27 +159,49 @@ class SVM:
 
         return df.mapInArrow(run, schema)
 
-    def span_bound(self) -> float:
-        """A bound of the leave-one-out errors: support vectors that their own span does not outweigh."""
-        wrong = total = 0
-        for _, _, rows, w, bias, _, alpha in self.pairs:
-            k = self.kernel.matrix(self.x[rows], self.x[rows], self.theta)
-            f = k @ w + bias
-            s = np.sign(np.where(w != 0, w, f))
-            free = np.flatnonzero((alpha > 1e-9) & (alpha < self.c - 1e-9))
-            span = {}
+    def span_objective(self) -> float:
+        """Less the logarithm of a bound of the leave-one-out errors, for each active support vector: those at the bound
+        C count as errors, a free one as its weight times its squared span, the distance in the kernel's space from
+        the other free ones. Larger is better; -inf without support vectors."""
+        bound = active = 0.0
+        tiny, edge = max(1e-8, self.eps), max(1e-6, 1e-4 * self.c)
+        for _, _, rows, w, _, _, alpha in self.pairs:
+            vectors = alpha > tiny
+            free = np.flatnonzero(vectors & (alpha < self.c - edge))
+            active += vectors.sum()
+            bound += vectors.sum() - len(free)
             if len(free):
-                m = np.block([[k[np.ix_(free, free)], np.ones((len(free), 1))], [np.ones((1, len(free))), np.zeros((1, 1))]])
-                inv = np.linalg.pinv(m)
-                span = {int(i): 1 / max(inv[p, p], 1e-12) for p, i in enumerate(free)}
-            for i in np.flatnonzero(alpha > 1e-9):
-                wrong += s[i] * f[i] - alpha[i] * span.get(int(i), k[i, i]) <= 0
-            total += len(rows)
-        return wrong / max(total, 1)
+                sign = np.sign(w[free])
+                q = self.kernel.matrix(self.x[rows[free]], self.x[rows[free]], self.theta) * np.outer(sign, sign)
+                if len(free) > 1:
+                    q += 1e-6 * max(np.diag(q).mean(), 1e-12) * np.eye(len(free))
+                bound += float(alpha[free] @ (1 / np.maximum(np.diag(np.linalg.inv(q)), 1e-12)))
+        return -float(np.log(max(bound / active, 1e-12))) if active else -np.inf
+
+
+def fit(spark, x, y, kernel: Kernel, low, high, metric: str = "accuracy", rounds: int = 3, per: int = 4, folds: int = 5) -> SVM:
+    """The classifier conditioned on all rows at the best (theta, C), C being the last of the bounds ``low`` and ``high``.
+
+    Each round scores a grid of ``per`` values of each parameter, evenly spaced on the log scale, as one job; the next
+    round's grid spans the neighbours of the best. Of equal scores the first on the grid counts."""
+    a, b = np.log(np.asarray(low, float)), np.log(np.asarray(high, float))
+    lowest, highest, best = a.copy(), b.copy(), (-np.inf, None)
+    for _ in range(rounds):
+        axes = [np.linspace(u, v, per) for u, v in zip(a, b)]
+        points = np.stack([m.ravel() for m in np.meshgrid(*axes, indexing="ij")], 1)
+        grid = [(tuple(np.exp(p[:-1])), float(np.exp(p[-1]))) for p in points]
+        scores = {r.candidate: r.score for r in cross_validate(spark, x, y, kernel, grid, folds, metric).collect()}
+        at = max(scores, key=lambda c: (scores[c], -c))
+        if scores[at] > best[0] or best[1] is None:
+            best = (scores[at], grid[at])
+        step = (b - a) / max(per - 1, 1)
+        a, b = np.maximum(points[at] - step, lowest), np.minimum(points[at] + step, highest)
+    theta, c = best[1]
+    return SVM(kernel, np.array(theta), c).condition(x, y)
 
 
 def cross_validate(spark, x, y, kernel: Kernel, grid: list[tuple[tuple[float, ...], float]], folds: int = 5, metric: str = "accuracy") -> DataFrame:
-    """(candidate, score): mean accuracy, log-probability (metric="log"), or less the span bound (metric="span") of
+    """(candidate, score): mean accuracy, log-probability (metric="log"), or the span objective (metric="span") of
     each (theta, C); every candidate and fold is a task."""
     shared = spark.sparkContext.broadcast((np.asarray(x, float), np.asarray(y), grid))
     folds = 1 if metric == "span" else folds
@@ -184,7 +213,7 @@ def cross_validate(spark, x, y, kernel: Kernel, grid: list[tuple[tuple[float, ..
             for c, f in zip(b.column("candidate").to_pylist(), b.column("fold").to_pylist()):
                 theta, cost = grid[c]
                 if metric == "span":
-                    got.append(-SVM(kernel, np.array(theta), cost).condition(x, y).span_bound())
+                    got.append(SVM(kernel, np.array(theta), cost).condition(x, y).span_objective())
                     continue
                 test = np.arange(len(x)) % folds == f
                 m = SVM(kernel, np.array(theta), cost).condition(x[~test], y[~test])

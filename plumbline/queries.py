@@ -269,14 +269,18 @@ def _directions(spark, n: int, d: int) -> DataFrame:
 _DIRS = f"SELECT k, list_transform(v, lambda e: e / sqrt(list_dot_product(v, v))) AS u FROM (SELECT k, list(w ORDER BY j) AS v FROM (SELECT k, j, {frame.uniform_sql(3, 'k', 'j')} - 0.5::DOUBLE AS w FROM (SELECT unnest(range(0, 8)) AS k) JOIN (SELECT unnest(range(0, 64)) AS j) ON true) GROUP BY k)"
 
 
-@query(f"""WITH e AS (SELECT embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings), h AS (SELECT count(*) // 2 AS h FROM e), u AS ({_DIRS}),
-a AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY s) AS i FROM (SELECT k, list_dot_product(x, u) AS s FROM e, h, u WHERE r < h)),
-b AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY s) AS i FROM (SELECT k, list_dot_product(x, u) AS s FROM e, h, u WHERE r >= h AND r < 2 * h))
-SELECT {q6(f"1e30 * avg(w) / {distance.sphere_area(64)!r}::DOUBLE / 1e30", "w")}, {q6("avg(w)", "mean_w")} FROM (SELECT k, avg((a.s - b.s) * (a.s - b.s)) AS w FROM a JOIN b USING (k, i) GROUP BY k)""")
+@query(f"""WITH e AS (SELECT embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings), h AS (SELECT count(*) // 3 AS h, count(*) - count(*) // 3 AS g FROM e), u AS ({_DIRS}),
+a AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY s) - 1 AS i FROM (SELECT k, list_dot_product(x, u) AS s FROM e, h, u WHERE r < h)),
+b AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY s) - 1 AS j FROM (SELECT k, list_dot_product(x, u) AS s FROM e, h, u WHERE r >= h)),
+c AS (SELECT DISTINCT pos FROM (SELECT r * g AS pos FROM e, h WHERE r < h UNION ALL SELECT r * h FROM e, h WHERE r < g)),
+w AS (SELECT pos, (coalesce(lead(pos) OVER (ORDER BY pos), h * g) - pos)::DOUBLE / (h * g) AS width FROM c, h)
+SELECT {q6(f"1e30 * avg(w) / {distance.sphere_area(64)!r}::DOUBLE / 1e30", "w")}, {q6("avg(w)", "mean_w")} FROM (
+  SELECT a.k, sum(width * (a.s - b.s) * (a.s - b.s)) AS w FROM w, h JOIN a ON a.i = w.pos // h.g JOIN b ON b.j = w.pos // h.h AND b.k = a.k GROUP BY a.k)""")
 def sliced_wasserstein(spark, d):
+    """A third of the vectors against the rest."""
     rows = frame.with_row_id(_t(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"])
-    half = rows.count() // 2
-    a, b = rows.where(F.col("row_id") < half), rows.where((F.col("row_id") >= half) & (F.col("row_id") < 2 * half))
+    third = rows.count() // 3
+    a, b = rows.where(F.col("row_id") < third), rows.where(F.col("row_id") >= third)
     w = distance.sliced_wasserstein(a, b, "embedding", _directions(spark, 8, 64), 64, 2.0)
     return w.select(r6("w", "w"), r6(F.col("w") * distance.sphere_area(64), "mean_w"))
 
@@ -325,19 +329,24 @@ def scaler_identity(spark, d):
 
 # --- distributions -----------------------------------------------------------------------------------------------
 
-EVENTS = "SELECT event_id, greatest(abs(value), 0.001) AS x, value FROM events"
+EVENTS = "SELECT event_id, greatest(abs(value), 0.001) AS x, CASE WHEN event_id % 10 = 0 THEN 0.0 ELSE abs(value) END AS edge, value FROM events"
 
 
 def _events(spark, d) -> DataFrame:
-    return _t(spark, d, "events").select("event_id", F.greatest(F.abs("value"), F.lit(0.001)).alias("x"), "value")
+    edge = F.when(F.col("event_id") % 10 == 0, 0.0).otherwise(F.abs("value"))
+    return _t(spark, d, "events").select("event_id", F.greatest(F.abs("value"), F.lit(0.001)).alias("x"), edge.alias("edge"), "value")
 
 
-def _density_query(name: str, dist: D.Univariate, x: Callable[[], Column], log_pdf: str, d1: str, d2: str, source: str = "x"):
-    sql = f"SELECT event_id, {q6(log_pdf, 'log_pdf')}, {q6(d1, 'd1')}, {q6(d2, 'd2')} FROM (SELECT event_id, {source} AS x FROM ({EVENTS}))"
+def _density_query(name: str, dist: D.Univariate, x: Callable[[], Column], log_pdf: str, d1: str, d2: str, source: str = "x", inside: str = "true"):
+    """Outside the support the log-density is given as null and its derivatives are 0."""
+    at = lambda v, other, name: q6(f"CASE WHEN {inside} THEN {v} ELSE {other} END", name)
+    sql = f"SELECT event_id, {at(log_pdf, 'NULL', 'log_pdf')}, {at(d1, '0.0', 'd1')}, {at(d2, '0.0', 'd2')} FROM (SELECT event_id, {source} AS x FROM ({EVENTS}))"
 
     @query(sql, f"logpdf_{name}")
     def run(spark, d):
-        return _events(spark, d).withColumn("z", x()).select("event_id", r6(dist.log_pdf(F.col("z")), "log_pdf"), r6(dist.d_log_pdf(F.col("z")), "d1"), r6(dist.dd_log_pdf(F.col("z")), "d2"))
+        z = F.col("z")
+        log_pdf = F.when(dist.log_pdf(z) > -math.inf, dist.log_pdf(z))
+        return _events(spark, d).withColumn("z", x()).select("event_id", r6(log_pdf, "log_pdf"), r6(dist.d_log_pdf(z), "d1"), r6(dist.dd_log_pdf(z), "d2"))
 
 
 def _c(v: float) -> str:
@@ -352,24 +361,31 @@ def _value() -> Column:
     return F.col("value")
 
 
+def _edge() -> Column:
+    return F.col("edge")
+
+
 _density_query("normal", D.Normal(50, 20), _value, f"-0.5 * ((x - 50) / 20) * ((x - 50) / 20) - {_c(math.log(20))} - {_c(0.5 * D.LOG_2PI)}", "-(x - 50) / 400", "-1.0::DOUBLE / 400", "value")
 _density_query("uniform", D.Uniform(-1000, 1e6), _value, f"-{_c(math.log(1e6 + 1000))}", "0.0", "0.0", "value")
-_density_query("gamma", D.Gamma(2.5, 0.1), _x, f"{_c(2.5 * math.log(0.1) - math.lgamma(2.5))} + 1.5 * ln(x) - 0.1::DOUBLE * x", "1.5 / x - 0.1::DOUBLE", "-1.5 / (x * x)")
-_density_query("inverse_gamma", D.InverseGamma(3.0, 2.0), lambda: 1 + _x(), f"{_c(3 * math.log(2.0) - math.lgamma(3.0))} - 4 * ln(x) - 2 / x", "-4 / x + 2 / (x * x)", "4 / (x * x) - 4 / (x * x * x)", "1 + x")
-_density_query("beta", D.Beta(2.0, 3.5), lambda: 0.05 + 0.9 * (1 / (1 + _x())), f"{_c(math.lgamma(5.5) - math.lgamma(2.0) - math.lgamma(3.5))} + ln(x) + 2.5 * ln(1 - x)", "1 / x - 2.5 / (1 - x)", "-1 / (x * x) - 2.5 / ((1 - x) * (1 - x))", "0.05::DOUBLE + 0.9::DOUBLE * (1 / (1 + x))")
-_density_query("lognormal", D.LogNormal(1.0, 2.0), lambda: 1 + _x(), f"-0.5 * ((ln(x) - 1) / 2) * ((ln(x) - 1) / 2) - ln(x) - {_c(math.log(2.0))} - {_c(0.5 * D.LOG_2PI)}", "-(1 + (ln(x) - 1) / 4) / x", "(1 + (ln(x) - 2) / 4) / (x * x)", "1 + x")
+_density_query("gamma", D.Gamma(2.5, 0.1), _edge, f"{_c(2.5 * math.log(0.1) - math.lgamma(2.5))} + 1.5 * ln(x) - 0.1::DOUBLE * x", "1.5 / x - 0.1::DOUBLE", "-1.5 / (x * x)", "edge", "x > 0")
+_density_query("inverse_gamma", D.InverseGamma(3.0, 2.0), lambda: _edge() / 10, f"{_c(3 * math.log(2.0) - math.lgamma(3.0))} - 4 * ln(x) - 2 / x", "-4 / x + 2 / (x * x)", "4 / (x * x) - 4 / (x * x * x)", "edge / 10", "x > 0")
+_density_query("beta", D.Beta(2.0, 3.5), lambda: _edge() / 100, f"{_c(math.lgamma(5.5) - math.lgamma(2.0) - math.lgamma(3.5))} + ln(x) + 2.5 * ln(1 - x)", "1 / x - 2.5 / (1 - x)", "-1 / (x * x) - 2.5 / ((1 - x) * (1 - x))", "edge / 100", "x > 0 AND x < 1")
+_density_query("lognormal", D.LogNormal(1.0, 2.0), _edge, f"-0.5 * ((ln(x) - 1) / 2) * ((ln(x) - 1) / 2) - ln(x) - {_c(math.log(2.0))} - {_c(0.5 * D.LOG_2PI)}", "-(1 + (ln(x) - 1) / 4) / x", "(1 + (ln(x) - 2) / 4) / (x * x)", "edge", "x > 0")
 _density_query("student", D.Student(4.0, 50.0, 10.0), _value, f"{_c(math.lgamma(2.5) - math.lgamma(2.0) - 0.5 * math.log(4 * math.pi) - math.log(10.0))} - 2.5 * ln(1 + ((x - 50) / 10) * ((x - 50) / 10) / 4)", "-5 * (x - 50) / (400 + (x - 50) * (x - 50))", "-5 * (400 - (x - 50) * (x - 50)) / ((400 + (x - 50) * (x - 50)) * (400 + (x - 50) * (x - 50)))", "value")
-_density_query("pareto", D.Pareto(2.5, 1.0), lambda: 1 + _x(), f"{_c(math.log(2.5))} - 3.5 * ln(x)", "-3.5 / x", "3.5 / (x * x)", "1 + x")
+_density_query("pareto", D.Pareto(2.5, 1.0), lambda: _edge() / 10, f"{_c(math.log(2.5))} - 3.5 * ln(x)", "-3.5 / x", "3.5 / (x * x)", "edge / 10", "x >= 1")
 
 _PHI = lambda z: f"(exp(-({z}) * ({z}) / 2) / {_c(math.sqrt(2 * math.pi))})"
 _SU = D.SmoothUniform(0.0, 100.0, 30.0)
-_PDF = f"(({D.normal_cdf_sql('(x / 30)')}) - ({D.normal_cdf_sql('((x - 100) / 30)')})) / 100"
+_FOLDED = f"SELECT *, {D.log_upper_tail_sql('a')} AS qa, {D.log_upper_tail_sql('abs(b)')} AS qb FROM (SELECT event_id, y, (abs(y - 50) + 50) / 30 AS a, (abs(y - 50) - 50) / 30 AS b FROM (SELECT event_id, 3 * value AS y FROM ({EVENTS})))"
+_LOG_P = f"SELECT *, CASE WHEN b >= 0 THEN qb + ln(1 - exp(qa - qb)) ELSE ln(1 - exp(qb) - exp(qa)) END AS p FROM ({_FOLDED})"
+_RATIOS = f"SELECT *, exp(-a * a / 2 - p) / {_c(math.sqrt(2 * math.pi))} AS ra, exp(-b * b / 2 - p) / {_c(math.sqrt(2 * math.pi))} AS rb FROM ({_LOG_P})"
 
 
-@query(f"SELECT event_id, {q6(f'ln({_PDF})', 'log_pdf')}, {q6(f'({_PHI("x / 30")} - {_PHI("(x - 100) / 30")}) / 3000 / ({_PDF})', 'd1')} FROM (SELECT event_id, least(x, 150.0) AS x FROM ({EVENTS}))")
+@query(f"SELECT event_id, {q6(f'p - {_c(math.log(100))}', 'log_pdf')}, {q6('sign(y - 50) * (ra - rb) / 30', 'd1')}, {q6('((b * rb - a * ra) - (ra - rb) * (ra - rb)) / 900', 'd2')} FROM ({_RATIOS})")
 def logpdf_smooth_uniform(spark, d):
-    x = F.least(F.col("x"), F.lit(150.0))
-    return _events(spark, d).select("event_id", r6(_SU.log_pdf(x), "log_pdf"), r6(_SU.d_log_pdf(x), "d1"))
+    """At three times each value, so far out into the tail."""
+    y = 3 * F.col("value")
+    return _events(spark, d).select("event_id", r6(_SU.log_pdf(y), "log_pdf"), r6(_SU.d_log_pdf(y), "d1"), r6(_SU.dd_log_pdf(y), "d2"))
 
 
 def _cdf_query(name: str, c: Callable[[], Column], sql: str):
@@ -472,24 +488,66 @@ def grid_linspaced(spark, d):
     return _rounded(design.linspaced(spark, 2000, _LOW, _HIGH))
 
 
-@query()
+def _net_sql(v: np.ndarray, n: int) -> str:
+    """(row_id, k, u): the points of a digital net as words of design.BITS bits, from its generator columns."""
+    bits = int(n - 1).bit_length()
+    entries = ", ".join(f"({k}, {b}, {int(v[k, b])}::UBIGINT)" for k in range(len(v)) for b in range(bits))
+    return f"SELECT row_id, k, bit_xor(CASE WHEN (row_id >> b) & 1 = 1 THEN v ELSE 0::UBIGINT END) AS u FROM (SELECT unnest(range(0, {n})) AS row_id), (VALUES {entries}) t(k, b, v) GROUP BY row_id, k"
+
+
+def _side_by_side(sql: str, d: int = 3) -> str:
+    return f"SELECT row_id, {', '.join(q6(f'max(x) FILTER (k = {k})', f'x{k}') for k in range(d))} FROM ({sql}) GROUP BY row_id"
+
+
+def _unit(net: str) -> str:
+    return f"SELECT row_id, k, u::DOUBLE / {_c(1 << design.BITS)} AS x FROM ({net})"
+
+
+def _owen_sql(net: str, seed: int) -> str:
+    """Each bit of u flipped or not by a hash of the bits above it."""
+    word = "18446744073709551616::UHUGEINT"
+    salt = f"(({seed}::UHUGEINT * 1000 + k::UHUGEINT) * {0xD1342543DE82EF95}::UHUGEINT + bit::UHUGEINT * {0x2545F4914F6CDD1D}::UHUGEINT)"
+    h0 = f"(((u >> (bit + 1)::UBIGINT)::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT + {salt} % {word}) % {word})::UBIGINT"
+    return f"""SELECT row_id, k, sum((xor((u >> bit::UBIGINT) & 1, (xor(h2, h2 >> 32) >> 17) & 1)::HUGEINT) << bit::INT)::DOUBLE / {_c(1 << design.BITS)} AS x FROM (
+  SELECT *, ((xor(h0, h0 >> 29))::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT % {word})::UBIGINT AS h2 FROM (
+    SELECT row_id, k, u, bit, {h0} AS h0 FROM ({net}), (SELECT unnest(range(0, {design.BITS})) AS bit))) GROUP BY row_id, k"""
+
+
+def _faure_sql(n: int, base: int = 3, digits: int = 8) -> str:
+    """Digits times powers of Pascal's matrix, whose entries are binomials times powers of the dimension's number."""
+    entries = ", ".join(f"({k}, {r}, {c}, {math.comb(c, r) * k ** (c - r) % base})" for k in range(base) for c in range(digits) for r in range(c + 1))
+    y = f"SELECT row_id, k, r, sum(m * ((row_id // pow({base}, c)::BIGINT) % {base})) % {base} AS y FROM (SELECT unnest(range(0, {n})) AS row_id), (VALUES {entries}) t(k, r, c, m) GROUP BY row_id, k, r"
+    return f"SELECT row_id, k, sum(y / pow({base}::DOUBLE, r + 1)) AS x FROM ({y}) GROUP BY row_id, k"
+
+
+def _grid(df: DataFrame) -> DataFrame:
+    return df.select("row_id", *[r6(c, c) for c in df.columns if c != "row_id"])
+
+
+@query(_side_by_side(_unit(_net_sql(design.sobol_directions(3), 4096))))
 def grid_sobol(spark, d):
-    return design.sobol(spark, 4096, [0, 0, 0], [1, 1, 1])
+    return _grid(design.sobol(spark, 4096, [0, 0, 0], [1, 1, 1]))
 
 
-@query()
+@query(_side_by_side(_owen_sql(_net_sql(design.sobol_directions(3), 4096), 42)))
 def grid_scrambled_sobol(spark, d):
-    return design.scrambled_sobol(spark, 4096, [0, 0, 0], [1, 1, 1])
+    return _grid(design.scrambled_sobol(spark, 4096, [0, 0, 0], [1, 1, 1]))
 
 
-@query()
+@query(_side_by_side(_unit(_net_sql(design.niederreiter_directions(3), 4096))))
 def grid_niederreiter(spark, d):
-    return design.niederreiter(spark, 4096, [0, 0, 0], [1, 1, 1])
+    return _grid(design.niederreiter(spark, 4096, [0, 0, 0], [1, 1, 1]))
 
 
-@query()
+@query(_side_by_side(_faure_sql(4096)))
 def grid_faure(spark, d):
-    return design.faure(spark, 4096, [0, 0, 0], [1, 1, 1])
+    return _grid(design.faure(spark, 4096, [0, 0, 0], [1, 1, 1]))
+
+
+@query(f"SELECT row_id, {q6('2 * pow(1 - u, -0.4)', 'pareto')}, {q6('-3 + u * 8', 'uniform')} FROM (SELECT row_id, {frame.uniform_sql(42, 'row_id')} AS u FROM (SELECT unnest(range(0, 3000)) AS row_id))")
+def samples_closed_form(spark, d):
+    a, b = D.Pareto(2.5, 2.0).sample(spark, 3000), D.Uniform(-3, 5).sample(spark, 3000)
+    return a.select("row_id", r6("x", "pareto")).join(b.select("row_id", r6("x", "uniform")), "row_id")
 
 
 @query("SELECT * FROM (VALUES ('chebyshev', 0.375::DOUBLE), ('hermite', 3.0::DOUBLE), ('laguerre', 24.0::DOUBLE), ('legendre', 0.2::DOUBLE)) t(basis, fourth_moment)")
@@ -539,8 +597,7 @@ def _halves(spark, d):
 
 
 def _saltelli(spark, d, second: bool = False) -> DataFrame:
-    grid = sobol.evaluation_grid(*_halves(spark, d), 3, second)
-    return sobol.centred(sobol.pivoted(grid.withColumn("y", _model(F.col("x0"), F.col("x1"), F.col("x2"))), 3, "y", second), 3, second)
+    return sobol.centred(sobol.evaluated(*_halves(spark, d), 3, _model, second), 3, second)
 
 
 def _sobol_sql(second: bool, source: str = "y", by: str = "") -> str:
@@ -804,25 +861,74 @@ def _gp():
     return gp.GaussianProcess(K.Constant(0) * K.SquaredExponential(1), np.array([1.0, 0.3]), nugget=1e-2, normalize_y=True)
 
 
-@query()
+_HOURS = np.arange(24)[:, None] / 24.0
+_HOURLY = "SELECT hour(ts) AS row_id, avg(value) AS y FROM events GROUP BY 1"
+_INVERSE = np.linalg.inv(_gp().kernel.matrix(_HOURS, _HOURS, _gp().theta) + 1e-2 * np.eye(24))
+_BETWEEN = _gp().kernel.matrix(_HOURS + 1 / 48, _HOURS, _gp().theta)
+
+
+def _values(m: np.ndarray) -> str:
+    """A matrix as rows (i, j, v)."""
+    return "(VALUES " + ", ".join(f"({i}, {j}, {float(m[i, j])!r}::DOUBLE)" for i in range(m.shape[0]) for j in range(m.shape[1])) + ") t(i, j, v)"
+
+
+@query(f"""WITH h AS ({_HOURLY}), m AS (SELECT avg(y) AS m, stddev_samp(y) AS s FROM h), w AS (SELECT * FROM {_values(_BETWEEN @ _INVERSE)}),
+k AS (SELECT i, 1.01::DOUBLE - v AS v FROM {_values(np.diag(_BETWEEN @ _INVERSE @ _BETWEEN.T)[:, None])})
+SELECT w.i::INT AS row_id, {q6("any_value(m) + sum(w.v * (y - m))", "mean")}, {q6("any_value(s * s * k.v)", "variance")} FROM w JOIN h ON h.row_id = w.j JOIN k ON k.i = w.i, m GROUP BY w.i""")
 def gp_posterior(spark, d):
+    """Between the hours, at given hyperparameters."""
+    m = _gp().condition(*gp.collect_training(_daily(spark, d), "x", "y", "row_id"))
+    at = spark.range(24).select(F.col("id").cast("int").alias("row_id"), F.array((F.col("id") + 0.5) / 24.0).alias("x"))
+    return m.predict(at, "x").select("row_id", r6("mean", "mean"), r6("variance", "variance"))
+
+
+@query()
+def gp_fit(spark, d):
+    """At the hyperparameters of largest likelihood."""
     rows = _daily(spark, d)
     m = _gp().fit(*gp.collect_training(rows, "x", "y", "row_id"), [0.05, 0.05], [10.0, 3.0])
     return m.predict(rows, "x").select("row_id", "y", "mean", "variance")
 
 
-@query()
+@query(f"""WITH h AS ({_HOURLY}), m AS (SELECT avg(y) AS m, stddev_samp(y) AS s FROM h), w AS (SELECT * FROM {_values(_INVERSE)}),
+a AS (SELECT w.i, sum(w.v * (y - m) / s) AS alpha FROM w JOIN h ON h.row_id = w.j, m GROUP BY w.i), g AS (SELECT i, v AS g FROM w WHERE i = j)
+SELECT h.row_id::INT AS i, {q6("y - s * alpha / g", "mean")}, {q6("s * s / g", "variance")}, {q6(f"-0.5 * ({_c(D.LOG_2PI)} - ln(g) + alpha * alpha / g)", "log_density")}
+FROM h JOIN a ON a.i = h.row_id JOIN g ON g.i = h.row_id, m""")
 def gp_leave_one_out(spark, d):
     m = _gp().condition(*gp.collect_training(_daily(spark, d), "x", "y", "row_id"))
     mean, var = m.loo()
-    return spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(mean, var, m.log_likelihood_loo()))], "i int, mean double, variance double, log_density double")
+    rows = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(mean, var, m.log_likelihood_loo()))], "i int, mean double, variance double, log_density double")
+    return rows.select("i", r6("mean", "mean"), r6("variance", "variance"), r6("log_density", "log_density"))
+
+
+_NEW = np.array([[0.1], [0.35], [0.62], [0.9]])
+_TO_NEW = _gp().kernel.matrix(_NEW, _HOURS, _gp().theta)
+_NEW_COV = _gp().kernel.matrix(_NEW, _NEW, _gp().theta) - _TO_NEW @ _INVERSE @ _TO_NEW.T
+
+
+@query(f"SELECT a.i, a.j, {q6('a.v * a.v / (b.v + 0.05)', 'falls')} FROM {_values(_NEW_COV).replace(' t(i, j, v)', ' a(i, j, v)')} JOIN {_values(_NEW_COV).replace(' t(i, j, v)', ' b(i, j, v)')} ON b.i = a.i AND b.j = a.i")
+def gp_variance_improvement(spark, d):
+    m = _gp().condition(*gp.collect_training(_daily(spark, d), "x", "y", "row_id"))
+    falls = m.expected_variance_improvement(_NEW, None, 0.05)
+    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(falls) for j, v in enumerate(row)], "i int, j int, falls double").select("i", "j", r6("falls", "falls"))
+
+
+def _by_type(spark, d) -> DataFrame:
+    rows = _t(spark, d, "events").groupBy(F.crc32("event_type").alias("key"), F.hour("ts").alias("row_id")).agg(F.avg("value").alias("y"))
+    return rows.select((F.col("key") % 1_000_000).cast("int").alias("output"), "row_id", F.array(F.col("row_id") / 24.0).alias("x"), "y")
 
 
 @query()
 def multi_gp(spark, d):
-    rows = _t(spark, d, "events").groupBy(F.crc32("event_type").alias("key"), F.hour("ts").alias("row_id")).agg(F.avg("value").alias("y"))
-    rows = rows.select((F.col("key") % 1_000_000).cast("int").alias("output"), "row_id", F.array(F.col("row_id") / 24.0).alias("x"), "y")
-    return gp.fit_many(rows, "output", "x", "y", _gp, [0.05, 0.05], [10.0, 3.0]).select("output", F.col("theta")[0].alias("scale"), F.col("theta")[1].alias("length"), "log_likelihood")
+    return gp.fit_many(_by_type(spark, d), "output", "x", "y", _gp, [0.05, 0.05], [10.0, 3.0]).select("output", F.col("theta")[0].alias("scale"), F.col("theta")[1].alias("length"), "log_likelihood")
+
+
+@query()
+def multi_gp_predict(spark, d):
+    """Every output's process at every event's time of day, in one pass over the events."""
+    models = gp.fit_many(_by_type(spark, d), "output", "x", "y", _gp, [0.05, 0.05], [10.0, 3.0])
+    at = _t(spark, d, "events").select("event_id", F.array((F.hour("ts") + F.minute("ts") / 60.0) / 24.0).alias("x"))
+    return gp.predict_many(at, "x", models, _gp).drop("x")
 
 
 @query()
@@ -847,9 +953,11 @@ def mcmc_chains(spark, d):
 def evolutionary_chains(spark, d):
     def sample(c, rng):
         xs, ss = mcmc.evolutionary(lambda x: float(-8 * (x[0] ** 2 - 1) ** 2), rng.standard_normal((10, 1)), 300, rng)
-        return xs[:, 0], ss[:, 0]
+        return np.concatenate([xs[:, :, 0], ss], 1), ss.sum(1)
 
-    return mcmc.chains(spark, 2, sample).select("chain", "step", F.col("x")[0].alias("x"), "score")
+    rows = mcmc.chains(spark, 2, sample)
+    members = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.struct(k.alias("member"), F.get("x", k).alias("x"), F.get("x", k + 10).alias("score")))
+    return rows.select("chain", "step", F.explode(members).alias("m")).select("chain", "step", "m.*")
 
 
 @query()
@@ -876,6 +984,19 @@ def windowed_moments(spark, d):
     return got.select("window_start", "key", "n", r6("mean", "mean"), r6(F.coalesce("variance", F.lit(0.0)), "variance"))
 
 
+_WIDTHS = (0.3, 0.6)
+
+
+@query(" UNION ALL ".join(f"""SELECT {c} AS candidate, {q6('avg(ln(coalesce(own, 0.0) / total + 1e-12))', 'score')} FROM (
+  SELECT id, sum(s) AS total, max(s) FILTER (mine) AS own FROM (
+    SELECT a.vec_id AS id, a.label = b.label AS mine, sum(exp(-0.5::DOUBLE * pow(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / {h}::DOUBLE, 2))) / count(*) AS s
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY a.vec_id, a.label, b.label) GROUP BY id)""" for c, h in enumerate(_WIDTHS)))
+def kde_classifier_objective(spark, d):
+    """The leave-one-out objective of the kernel classifier at two bandwidths."""
+    got = kde.classifier_scores(_t(spark, d, "embeddings"), [K.Bandwidth.of(h, 64) for h in _WIDTHS], None, id="vec_id", x="embedding")
+    return got.select("candidate", r6("score", "score"))
+
+
 @query()
 def svm_predict(spark, d):
     """Regions of nations from their keys; the training set is the table."""

@@ -194,7 +194,7 @@ def test_svm_separates_spirals():
     assert (m.predict_np(x) == y).mean() > 0.95
     p = m.probabilities_np(x)
     assert np.allclose(p.sum(1), 1) and (p.argmax(1) == y).mean() > 0.9
-    assert 0 <= m.span_bound() <= 1
+    assert np.isfinite(m.span_objective())
 
 
 def test_samplers():

@@ -103,91 +103,91 @@ class Layout:
             yield t, rows
 
 
+# Below, a column of an array is a lane's state and a row one of its numbers, so that the softmax and the gates run
+# along whole rows.
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
     """x / (1 + |x|) in place: shaped like tanh at a fraction of its cost; its slope is (1 - |result|) ** 2."""
     d = np.abs(x)
-    d += F4(1)
+    d += 1
     x /= d
     return x
 
 
 def _gate(x: np.ndarray) -> np.ndarray:
-    """(1 + soft(x)) / 2 in place."""
+    """(1 + soft(x)) / 2 in place; its slope is (1 - |2 result - 1|) ** 2 / 2."""
     x = _soft(x)
-    x *= F4(0.5)
-    x += F4(0.5)
+    x *= 0.5
+    x += 0.5
     return x
 
 
-def _slope(g: np.ndarray) -> np.ndarray:
-    """The slope of _gate where its result is g."""
-    return F4(0.5) * (1 - np.abs(2 * g - 1)) ** 2
+def _inputs(p: Params, tokens: np.ndarray) -> np.ndarray:
+    """The input's part of the gates at each token, 3H x tokens."""
+    return np.ascontiguousarray((p.embed @ p.wx + p.b).take(tokens, 0).T)
 
 
-def _parts(a: np.ndarray) -> list[np.ndarray]:
-    """The columns of reset, update and candidate, each as an array of its own."""
-    return [np.ascontiguousarray(x) for x in np.split(a, 3, axis=-1)]
-
-
-def _step(xw: list[np.ndarray], words: np.ndarray, h: np.ndarray, wh: list[np.ndarray]):
-    """(next state, reset, update, h's part of the candidate, candidate)."""
-    r, u, c = (x.take(words, 0) for x in xw)
-    r += h @ wh[0]
-    u += h @ wh[1]
-    g = h @ wh[2]
-    r, u = _gate(r), _gate(u)
-    c += r * g
-    c = _soft(c)
+def _step(wh: np.ndarray, x: np.ndarray, h: np.ndarray):
+    """(next state, reset and update, h's part of the candidate, candidate); wh: 3H x H."""
+    n = len(h)
+    g = wh @ h
+    ru = g[: 2 * n]
+    ru += x[: 2 * n]
+    _gate(ru)
+    c = ru[:n] * g[2 * n :]
+    c += x[2 * n :]
+    _soft(c)
     new = h - c
-    new *= u
+    new *= ru[n:]
     new += c
-    return new, r, u, g, c
+    return new, ru, g[2 * n :], c
 
 
 def log_probabilities(p: Params, classes: Classes, texts: list[np.ndarray], most: int = 256, steps: int = 32) -> np.ndarray:
     """Natural log-probability of each text (arrays of word numbers), its first word predicted from a state of zeros."""
     lay = Layout(texts, most)
     out = np.zeros(len(texts))
-    if not len(lay.tokens):
-        return out
-    hidden = len(p.wh)
-    xw, wh = _parts(p.embed @ p.wx + p.b), _parts(p.wh)  # xw: the input's part of the gates, once for each word
-    h = np.zeros((len(lay.n), hidden), F4)
+    wh = np.ascontiguousarray(p.wh.T)
+    h = np.zeros((len(p.wh), len(lay.n)), p.wh.dtype)
     for _, rows in lay.windows(steps):
-        states = np.empty((sum(map(len, rows)), hidden), F4)
-        at = 0
-        for places in rows:
-            k = len(places)
-            h = h[:k]
-            fresh = lay.new.take(places)
-            if fresh.any():
-                h[fresh] = 0
-            states[at : at + k] = h
-            h = _step(xw, lay.tokens.take(places), h, wh)[0]
-            at += k
         places = np.concatenate(rows)
-        out += np.bincount(lay.text[places], _log_output(p, classes, states, lay.tokens[places]), len(texts))
+        words, fresh = lay.tokens[places], lay.new[places]
+        x = _inputs(p, words)
+        states = np.empty((len(h), len(words)), h.dtype)
+        at = 0
+        for row in rows:
+            to = at + len(row)
+            h = h[:, : len(row)] * ~fresh[at:to]
+            states[:, at:to] = h
+            h = _step(wh, x[:, at:to], h)[0]
+            at = to
+        out += np.bincount(lay.text[places], _log_output(p, classes, states, words), len(texts))
     return out
 
 
-def _log_output(p: Params, classes: Classes, states: np.ndarray, words: np.ndarray) -> np.ndarray:
-    k = classes.of[words]
-    z = states @ p.wc[:-1] + p.wc[-1]
-    chosen = z[np.arange(len(z)), k]
-    np.exp(z, out=z)
-    logp = chosen - np.log(z.sum(1))
+def _by_class(classes: Classes, words: np.ndarray):
+    """(order of the words by class, [(class's first word and end, where its words are in that order)])."""
+    k = classes.of[words].astype(np.int16)
     order = np.argsort(k, kind="stable")
     cut = np.searchsorted(k[order], np.arange(len(classes.first)))
-    for c in range(len(classes.first) - 1):
-        rows = order[cut[c] : cut[c + 1]]
-        if len(rows):
-            a, b = classes.first[c], classes.first[c + 1]
-            z = states[rows] @ p.wo[a:b, :-1].T + p.wo[a:b, -1]
-            chosen = z[np.arange(len(rows)), words[rows] - a]
-            np.exp(z, out=z)
-            logp[rows] += chosen - np.log(z.sum(1))
+    return order, [(classes.first[c], classes.first[c + 1], cut[c], cut[c + 1]) for c in np.flatnonzero(np.diff(cut))]
+
+
+def _log_output(p: Params, classes: Classes, states: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def log_softmax_at(z, chosen):
+        z -= z.max(0)
+        out = z[chosen, np.arange(z.shape[1])]
+        np.exp(z, out=z)
+        return out - np.log(z.sum(0))
+
+    logp = log_softmax_at(p.wc[:-1].T @ states + p.wc[-1][:, None], classes.of[words])
+    order, parts = _by_class(classes, words)
+    s, w = states.take(order, 1), words[order]
+    inside = np.empty(len(words), states.dtype)
+    for a, b, i, j in parts:
+        inside[i:j] = log_softmax_at(p.wo[a:b, :-1] @ s[:, i:j] + p.wo[a:b, -1:], w[i:j] - a)
+    logp[order] += inside
     return logp
 
 
@@ -198,56 +198,62 @@ class Adam:
         self.m, self.v, self.k = [np.zeros_like(a) for a in p.arrays()], [np.zeros_like(a) for a in p.arrays()], 0
 
 
-def train(p: Params, classes: Classes, texts: list[np.ndarray], rate: float, most: int = 192, steps: int = 16, clip: float = 5.0, adam: Adam | None = None) -> Params:
+def gradient(p: Params, classes: Classes, lay: Layout, rows: list[np.ndarray], h: np.ndarray, weight: np.ndarray | None = None):
+    """(gradients of the negative log-probability of a window's tokens, each times its text's weight, state behind the window);
+    h: the state before it, which counts as given."""
+    hidden, wh = len(p.wh), np.ascontiguousarray(p.wh.T)
+    places = np.concatenate(rows)
+    words, keep = lay.tokens[places], ~lay.new[places]
+    n = len(words)
+    x = _inputs(p, words)
+    states, ru, gc, c = (np.empty((k * hidden, n), p.wh.dtype) for k in (1, 2, 1, 1))
+    edges = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    for a, b in zip(edges, edges[1:]):
+        h = h[:, : b - a] * keep[a:b]
+        states[:, a:b] = h
+        h, ru[:, a:b], gc[:, a:b], c[:, a:b] = _step(wh, x[:, a:b], h)
+    dstates, dwc, dwo = _output_gradient(p, classes, states, words, None if weight is None else weight[lay.text[places]].astype(p.wh.dtype))
+    r, u = ru[:hidden], ru[hidden:]
+    slope = 0.5 * (1 - np.abs(2 * ru - 1)) ** 2
+    by_c = (1 - u) * (1 - np.abs(c)) ** 2  # what a unit of the next state's gradient gives each gate
+    by_u = (states - c) * slope[hidden:]
+    by_r = gc * slope[:hidden]
+    dx, dg = np.empty_like(x), np.empty_like(x)  # of the gates' inputs, and of h's part of them
+    dnext = np.zeros((hidden, 0), p.wh.dtype)
+    for a, b in zip(edges[-2::-1], edges[:0:-1]):
+        dh = np.zeros((hidden, b - a), p.wh.dtype)
+        dh[:, : dnext.shape[1]] = dnext
+        dc = dh * by_c[:, a:b]
+        dx[2 * hidden :, a:b] = dc
+        np.multiply(dc, by_r[:, a:b], out=dx[:hidden, a:b])
+        np.multiply(dh, by_u[:, a:b], out=dx[hidden : 2 * hidden, a:b])
+        dg[: 2 * hidden, a:b] = dx[: 2 * hidden, a:b]
+        np.multiply(dc, r[:, a:b], out=dg[2 * hidden :, a:b])
+        dh *= u[:, a:b]
+        dh += p.wh @ dg[:, a:b]
+        dh += dstates[:, a:b]
+        dnext = dh * keep[a:b]
+    order = np.argsort(words, kind="stable")
+    at = np.flatnonzero(np.diff(words[order], prepend=-1))
+    dembed = np.zeros_like(p.embed)
+    de = dx.T @ p.wx.T
+    dembed[words[order][at]] = np.add.reduceat(de[order], at)
+    return [dembed, p.embed[words].T @ dx.T, states @ dg.T, dx.sum(1), dwc, dwo], h
+
+
+def train(p: Params, classes: Classes, texts: list[np.ndarray], rate: float, most: int = 192, steps: int = 16, clip: float = 5.0, adam: Adam | None = None, weight: np.ndarray | None = None) -> Params:
     """One pass over ``texts`` by backpropagation truncated to windows of ``steps`` steps, with Adam's updates; p is
-    changed in place. ``adam`` carries the averages on from one call to the next."""
+    changed in place. ``adam`` carries the averages on from one call to the next; ``weight``: how often each text counts."""
     adam = adam or Adam(p)
-    m, v = adam.m, adam.v
     lay = Layout(texts, most)
-    hidden, h0 = len(p.wh), np.zeros((len(lay.n), len(p.wh)), F4)
+    h = np.zeros((len(p.wh), len(lay.n)), p.wh.dtype)
     for _, rows in lay.windows(steps):
         adam.k += 1
-        saved, h = [], h0
-        xw, wh = _parts(p.embed @ p.wx + p.b), _parts(p.wh)
-        for places in rows:
-            h = h[: len(places)] * ~lay.new[places][:, None]
-            words = lay.tokens[places]
-            new, r, u, g, c = _step(xw, words, h, wh)
-            saved.append((h, words, r, u, g, c))
-            h = new
-        h0 = h
-        states, words = np.concatenate([s[0] for s in saved]), np.concatenate([s[1] for s in saved])
-        n = len(words)
-        dstates, dwc, dwo = _output_gradient(p, classes, states, words)
-        dembed, dwx, dwh, db = np.zeros_like(p.embed), np.zeros_like(p.wx), np.zeros_like(p.wh), np.zeros_like(p.b)
-        dnext = np.zeros((0, hidden), F4)
-        at = n
-        gates, inputs = [], []
-        for t in range(len(saved) - 1, -1, -1):
-            h, w, r, u, gc, c = saved[t]
-            dh_out = np.zeros_like(h)
-            dh_out[: len(dnext)] = dnext
-            dc = dh_out * (1 - u) * (1 - np.abs(c)) ** 2
-            du = dh_out * (h - c) * _slope(u)
-            dr = dc * gc * _slope(r)
-            dg = np.concatenate([dr, du, dc * r], 1)
-            dx = np.concatenate([dr, du, dc], 1)
-            dwh += h.T @ dg
-            gates.append(dx)
-            inputs.append(w)
-            at -= len(h)
-            dh = dh_out * u + dg @ p.wh.T + dstates[at : at + len(h)]
-            dnext = dh * ~lay.new[rows[t]][:, None]
-        dx, w = np.concatenate(gates), np.concatenate(inputs)
-        e = p.embed[w]
-        dwx, db, de = e.T @ dx, dx.sum(0), dx @ p.wx.T
-        order = np.argsort(w, kind="stable")
-        at = np.flatnonzero(np.diff(w[order], prepend=-1))
-        dembed[w[order][at]] = np.add.reduceat(de[order], at)
-        grads = [dembed, dwx, dwh, db, dwc, dwo]
+        grads, h = gradient(p, classes, lay, rows, h, weight)
+        n = sum(map(len, rows)) if weight is None else float(weight[lay.text[np.concatenate(rows)]].sum())
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads)) / n
         factor = min(1.0, clip / max(norm, 1e-9)) / n
-        for a, g, mm, vv in zip(p.arrays(), grads, m, v, strict=True):
+        for a, g, mm, vv in zip(p.arrays(), grads, adam.m, adam.v, strict=True):
             g *= F4(factor)
             mm += F4(0.1) * (g - mm)
             vv += F4(0.01) * (g * g - vv)
@@ -255,29 +261,27 @@ def train(p: Params, classes: Classes, texts: list[np.ndarray], rate: float, mos
     return p
 
 
-def _output_gradient(p: Params, classes: Classes, states: np.ndarray, words: np.ndarray):
-    n, k = len(words), classes.of[words]
-    z = states @ p.wc[:-1] + p.wc[-1]
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(n), k] -= 1
-    dwc = np.concatenate([states.T @ z, z.sum(0, keepdims=True)])
-    dstates = z @ p.wc[:-1].T
+def _output_gradient(p: Params, classes: Classes, states: np.ndarray, words: np.ndarray, weight: np.ndarray | None):
+    def softmax_minus(z, chosen, weight):
+        z -= z.max(0)
+        np.exp(z, out=z)
+        z /= z.sum(0)
+        z[chosen, np.arange(z.shape[1])] -= 1
+        if weight is not None:
+            z *= weight
+        return z
+
+    z = softmax_minus(p.wc[:-1].T @ states + p.wc[-1][:, None], classes.of[words], weight)
+    dwc = np.concatenate([states @ z.T, z.sum(1)[None]])
+    dstates = p.wc[:-1] @ z
     dwo = np.zeros_like(p.wo)
-    order = np.argsort(k, kind="stable")
-    cut = np.searchsorted(k[order], np.arange(len(classes.first)))
-    for c in range(len(classes.first) - 1):
-        rows = order[cut[c] : cut[c + 1]]
-        if len(rows):
-            a, b = classes.first[c], classes.first[c + 1]
-            s = states[rows]
-            z = s @ p.wo[a:b, :-1].T + p.wo[a:b, -1]
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(rows)), words[rows] - a] -= 1
-            dstates[rows] += z @ p.wo[a:b, :-1]
-            dwo[a:b, :-1] += z.T @ s
-            dwo[a:b, -1] += z.sum(0)
+    order, parts = _by_class(classes, words)
+    s, w = states.take(order, 1), words[order]
+    ds = np.empty_like(s)
+    for a, b, i, j in parts:
+        z = softmax_minus(p.wo[a:b, :-1] @ s[:, i:j] + p.wo[a:b, -1:], w[i:j] - a, None if weight is None else weight[order[i:j]])
+        ds[:, i:j] = p.wo[a:b, :-1].T @ z
+        dwo[a:b, :-1] = z @ s[:, i:j].T
+        dwo[a:b, -1] = z.sum(1)
+    dstates[:, order] += ds
     return dstates, dwc, dwo

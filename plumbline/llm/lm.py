@@ -7,10 +7,12 @@ class-factored softmax. A word outside of it has the probability of ``unknown``
 words outside: (c + 1) / (N' + V' + 1), so the model is a distribution over the same tokens as the base score. A
 document's score is the sum over all its tokens, end included, its state being carried from window to window.
 
-Training: truncated backpropagation in numpy. A first model is trained in one task on at most ``WARM_DOCS`` different rows;
-from it, every partition trains its own on all of its training documents, in chunks of about ``CHUNK_TOKENS`` tokens
-that follow one another, and the mean of all, weighted by tokens, is the model. Means are taken in two levels, so the
-driver gets ``GROUPS`` models whatever the number of partitions.
+Training: truncated backpropagation in numpy, on every training document. Texts are sent as word numbers to shards of
+about ``SHARD_TOKENS`` tokens by a hash of the text; equal texts are learned from once with their number as weight, so
+copies make no shard large. A first model is trained in one task on about ``WARM_DOCS`` texts, those with the smallest
+hashes; from it, every shard trains its own on all of its texts, in the order of their hashes, and the mean of all,
+weighted by tokens, is the model. Means are taken by rounds of ``FAN`` shards, so no task and not the driver gets all of
+them. Shards, order and means depend on the texts alone, so partitioning and lost executors change nothing.
 
 Scoring is one pass over the texts. Counts of the ``HOT`` most frequent words are broadcast; a text's other words are
 joined with the table of counts by their hash, so no table that grows with the vocabulary is broadcast.
@@ -29,13 +31,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import gru
 from plumbline.llm.counts import Lookup, frequent, word_counts
-from plumbline.llm.text import Words, map_arrow, slices
+from plumbline.llm.text import Words, map_arrow, slices, span_hashes
 from plumbline.plans.lineage import cut
 
 WORDS = 1022
@@ -44,11 +45,14 @@ HOT = 1 << 17
 WARM_DOCS = 600
 WARM_PASSES = 3
 RATE, RATE_AFTER = 1e-2, 4e-3
-GROUPS = 8
+FAN = 64
 SEED = 11
 #: Not the hash of any word that is likely to occur.
 END = 0x6A09E667F3BCC908
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 1_000_000
+SHARD_TOKENS = 4_000_000
+#: Longer texts are learned from in pieces, each from a state of zeros, as a text's steps follow one another.
+PIECE = 4096
 _LN10 = math.log(10)
 
 
@@ -88,64 +92,135 @@ def vocabulary(hot_h: np.ndarray, hot_c: np.ndarray, total: int, ends: int) -> V
     return Vocabulary(h[by_hash], place[: len(h)][by_hash], int(place[-2]), int(place[-1]), counts[order])
 
 
-def _train(docs: DataFrame, vocab: Vocabulary, p: gru.Params) -> gru.Params:
-    """Warm start in one task, then every partition from there; ``docs``: (doc_id, text) to learn from."""
-    spark = docs.sparkSession
-    size = len(p.flat())
-    shared = spark.sparkContext.broadcast((vocab, p))
+def _pack(key: np.ndarray, count: np.ndarray, size: np.ndarray, ids: np.ndarray) -> bytes:
+    return b"".join([np.int64(len(key)).tobytes(), key.tobytes(), count.tobytes(), size.tobytes(), ids.tobytes()])
+
+
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(key, count, word numbers) of each distinct text of the blobs, by key."""
+    keys, counts, texts = [], [], []
+    for b in blobs:
+        n = int(np.frombuffer(b, np.int64, 1)[0])
+        size = np.frombuffer(b, np.int64, n, 8 + 16 * n)
+        keys.append(np.frombuffer(b, np.uint64, n, 8))
+        counts.append(np.frombuffer(b, np.int64, n, 8 + 8 * n))
+        ids, edge = np.frombuffer(b, np.int16, -1, 8 + 24 * n), np.cumsum(size)
+        texts += [ids[e - k : e] for e, k in zip(edge, size)]
+    key, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return key, np.bincount(back, np.concatenate(counts)), [texts[i] for i in first]
+
+
+def _pieces(texts: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The texts in pieces of at most PIECE words, with the count of each."""
+    out = [[t[a : a + PIECE].astype(np.int32) for a in range(0, len(t), PIECE)] for t in texts]
+    return [x for parts in out for x in parts], np.repeat(count, [len(parts) for parts in out])
+
+
+def encoded(docs: DataFrame, shared, shards: int) -> DataFrame:
+    """(shard, blob): the texts as word numbers; each task's equal texts are packed together."""
+
+    def run(batches):
+        vocab = shared.value[0]
+        keys, texts, tokens = [], [], 0
+
+        def flush():
+            key, first, count = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+            shard = (key % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            full, blobs = np.flatnonzero(np.diff(edges)), []
+            for s in full:
+                at = order[edges[s] : edges[s + 1]]
+                mine = [texts[i] for i in first[at]]
+                blobs.append(_pack(key[at], count[at].astype(np.int64), np.array([len(t) for t in mine], np.int64), np.concatenate(mine)))
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
-    def chunks(batches, vocab):
-        texts, tokens = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
-                new = vocab.texts(Words(part.column("text")))
-                texts += new
-                tokens += sum(map(len, new))
+                words = Words(part.column("text"))
+                keys.append(span_hashes(words.padded, words.offsets[:-1], np.diff(words.offsets)))
+                texts += [t.astype(np.int16) for t in vocab.texts(words)]
+                tokens += len(words.start) + words.docs
                 if tokens >= CHUNK_TOKENS:
-                    yield texts
-                    texts, tokens = [], 0
+                    yield flush()
+                    keys, texts, tokens = [], [], 0
         if texts:
-            yield texts
-
-    def learn(passes, rate, params):
-        def run(batches):
-            vocab, p = shared.value[0], params.value if params else shared.value[1]
-            p = p.like(p.flat())
-            n, adam = 0, gru.Adam(p)
-            for texts in chunks(batches, vocab):
-                n += sum(map(len, texts))
-                for k in range(passes):
-                    p = gru.train(p, vocab.classes, texts, rate / (k + 1), adam=adam)
-            if n:
-                flat = pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(p.flat().astype(np.float32)))
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([n], pa.int64()), flat], ["g", "n", "p"])
-
-        return run
-
-    schema = "g int, n bigint, p array<float>"
-    # Keys first: sorting whole texts for a few of them would bring many to one task. Equal rows are one of the warm-up.
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    keys = keyed.select("key").distinct().orderBy("key").limit(WARM_DOCS)
-    warm = keyed.join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")).select("text").coalesce(1)
-    first = map_arrow(warm, learn(WARM_PASSES, RATE, None), schema).collect()  # one row
-    if not first:
-        return p
-    p = p.like(np.array(first[0].p, np.float32))
-    begun = spark.sparkContext.broadcast(p)
-    models = map_arrow(docs.select("text"), learn(1, RATE_AFTER, begun), schema)
+            yield flush()
+
+    return map_arrow(docs.select("text"), run, "shard bigint, blob binary")
+
+
+def _train(docs: DataFrame, vocab: Vocabulary, p: gru.Params, tokens: int, ends: int) -> gru.Params:
+    """``docs``: the rows to learn from, ``tokens`` of them in all and ``ends`` texts."""
+    if len(vocab.counts) >= 1 << 15:
+        raise ValueError("word numbers have 16 bits")
+    context = docs.sparkSession.sparkContext
+    size, shards = len(p.flat()), -(-tokens // SHARD_TOKENS)
+    shared = context.broadcast((vocab, p))
+    sent = cut(encoded(docs, shared, shards))
+    least = min((1 << 64) - 1, (WARM_DOCS << 64) // ends)
+
+    def few(batches):
+        for batch in batches:
+            for b in batch.column("blob").to_pylist():
+                key, _, texts = _unpack([b])
+                at = np.flatnonzero(key <= np.uint64(least))
+                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array([texts[i].tobytes() for i in at], pa.binary())], ["key", "ids"])
+
+    def row(shard, n, p):
+        flat = pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(p.flat().astype(np.float32)))
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), flat], ["shard", "n", "p"])
+
+    def warm(batches):
+        rows = sorted((k, b) for batch in batches for k, b in zip(batch.column("key").to_pylist(), batch.column("ids").to_pylist()))
+        if rows:
+            texts, _ = _pieces([np.frombuffer(b, np.int16) for _, b in rows], np.ones(len(rows)))
+            p = shared.value[1].like(shared.value[1].flat())
+            adam = gru.Adam(p)
+            for k in range(WARM_PASSES):
+                gru.train(p, shared.value[0].classes, texts, RATE / (k + 1), adam=adam)
+            yield row(0, 1, p)
+
+    schema = "shard bigint, n bigint, p array<float>"
+    picked = map_arrow(sent.select("blob"), few, "key bigint, ids binary").groupBy("key").agg(F.first("ids").alias("ids"))
+    first = map_arrow(picked.repartition(1), warm, schema).collect()  # one row
+    if first:
+        p = p.like(np.array(first[0].p, np.float32))
+    begun = context.broadcast(p)
+
+    def learn(batches):
+        found: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for s, b in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist()):
+                found.setdefault(s, []).append(b)
+        for s in sorted(found):
+            _, count, texts = _unpack(found.pop(s))
+            texts, count = _pieces(texts, count)
+            length = np.array([len(t) for t in texts], np.int64)
+            p = begun.value.like(begun.value.flat())
+            adam, edge = gru.Adam(p), np.cumsum(length)
+            at = 0
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(edge, (edge[at - 1] if at else 0) + CHUNK_TOKENS, "right")))
+                gru.train(p, shared.value[0].classes, texts[at:to], RATE_AFTER, adam=adam, weight=count[at:to])
+                at = to
+            yield row(s, int(count @ length), p)
 
     def mean(t: pa.Table) -> pa.Table:
+        t = t.sort_by("shard")
         n = t.column("n").to_numpy()
-        flat = np.stack([np.asarray(x.values.to_numpy()) for x in t.column("p")])
-        out = (flat * (n / n.sum())[:, None].astype(np.float32)).sum(0, dtype=np.float32)
+        out, share = np.zeros(size, np.float32), (n / n.sum()).astype(np.float32)
+        for x, w in zip(t.column("p"), share):
+            out += np.asarray(x.values.to_numpy()) * w
         lists = pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(out))
-        return pa.table({"g": t.column("g").slice(0, 1), "n": pa.array([n.sum()]), "p": lists})
+        return pa.table({"shard": pa.array([t.column("shard")[0].as_py() // FAN], pa.int64()), "n": pa.array([n.sum()]), "p": lists})
 
-    parts = models.groupBy("g").applyInArrow(mean, schema).orderBy("g").collect()  # GROUPS rows at most
-    if not parts:
-        return p
-    n = np.array([r.n for r in parts], float)
-    return p.like(np.einsum("i,ij->j", n / n.sum(), np.array([r.p for r in parts], np.float32)))
+    models = cut(map_arrow(sent.repartition(shards, "shard"), learn, schema))
+    while True:
+        models = cut(models.groupBy(F.floor(F.col("shard") / FAN).alias("g")).applyInArrow(mean, schema))
+        shards = -(-shards // FAN)
+        if shards == 1:
+            return p.like(np.array(models.first().p, np.float32))
 
 
 def score(docs: DataFrame, held_out, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -161,7 +236,7 @@ def score(docs: DataFrame, held_out, text: str = "text", id: str = "doc_id") ->
     vocab = vocabulary(hot_h, hot_c, total, ends)
     p = gru.start(vocab.counts, vocab.classes, HIDDEN, HIDDEN, SEED)
     if total:
-        p = _train(learn, vocab, p)
+        p = _train(learn, vocab, p, total, ends)
     shared = docs.sparkSession.sparkContext.broadcast((hot_h, hot_c, vocab, p))
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, hot_known bigint, hot_logs double, out_logs double, n_out bigint, model double, rare array<struct<h:bigint,n:bigint>>"
 

@@ -14,7 +14,7 @@ which each source's documents are dealt over ``SALTS`` keys, as one source may h
 
 Edge cases: a null source is a source (the last by order); a null or empty text has size 0 and is taken 0 times in
 the query's digest as it has no words (as a row it is emitted by its source's rate); a source without words has
-target 0; a null doc_id is hashed as a value of its own, and repeated rows are taken alike; an empty table gives an
+target 0; a row without a doc_id draws by its text, and repeated rows are taken alike; an empty table gives an
 empty result; extra columns pass through, those that have the name of an output are replaced.
 """
 
@@ -38,10 +38,10 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from 32 bits of md5; null is hashed as the word null."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(id.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def draw(id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from 32 bits of md5 of the id, or of the text where there is no id."""
+    own = F.coalesce(id.cast("string"), F.concat(F.lit("null:"), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, few: int = FEW) -> tuple[DataFrame, int]:
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
         rates = rates.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = dealt.join(rates, same & (F.col("__salt") == F.col("__turn"))).drop("__salt", "__turn")
     whole = F.floor("rate")
-    copies = whole + (draw(F.col(id)) < F.col("rate") - whole).cast("long")
+    copies = whole + (draw(F.col(id), F.col(text)) < F.col("rate") - whole).cast("long")
     return joined.drop("__source").withColumn("copies", copies)
 
 

@@ -51,12 +51,6 @@ def domain_rule(verdict: str, host: str, path: str = "/") -> Rule:
     return Rule(host + path, verdict, pattern, tuple(_tokens(host) + _tokens(whole)), len(host + path))
 
 
-def keyword_rule(verdict: str, word: str) -> Rule:
-    """A rule of the method's own for URLs that have ``word`` as a token of host or path."""
-    edge = "[^0-9A-Za-z\\u0080-\\x{10FFFF}]"
-    return Rule(word, verdict, f"(?i)(?:^|{edge}){re.escape(word)}(?:{edge}|$)", tuple(_tokens(word)), -1, "method")
-
-
 #: The contract's domain rules.
 DOMAIN_RULES = (
     domain_rule("allow", "com"),
@@ -65,9 +59,26 @@ DOMAIN_RULES = (
     domain_rule("block", "net", "/es/"),
     domain_rule("block", "net", "/fr/"),
 )
-#: Tokens that the method itself blocks where no domain rule fits.
-KEYWORDS = ("adult", "bet", "betting", "casino", "escort", "gambling", "hentai", "nsfw", "poker", "porn", "sex", "torrent", "viagra", "warez", "webcam", "xxx")
-METHOD_RULES = tuple(keyword_rule("block", w) for w in KEYWORDS)
+#: What the method itself blocks where no domain rule fits: hosts and paths that serve no text of their own, as
+#: (name, regular expression, literal tokens that any match has whole). Fixed values.
+PATTERNS = (
+    ("admin pages of wp", "(?i)/wp-admin(?:/|$)", ("wp", "admin")),
+    ("login of wp", "(?i)/wp-login[.]php$", ("wp", "login", "php")),
+    ("remote calls", "(?i)/xmlrpc[.]php$", ("xmlrpc", "php")),
+    ("scripts", "(?i)/cgi-bin/", ("cgi", "bin")),
+    ("sessions", "(?i);jsessionid=", ("jsessionid",)),
+    ("login", "(?i)/(?:user|users|account|accounts|member|members)/login(?:/|[.]|$)", ("login",)),
+    ("sign up", "(?i)/(?:user|users|account|accounts|member|members)/sign[-_]?up(?:/|[.]|$)", ()),
+    ("cart", "(?i)/cart/checkout(?:/|$)", ("cart", "checkout")),
+    ("ad servers", "(?i)^ads[0-9]*[.]", ()),
+    ("pixels", "(?i)/(?:pixel|spacer|blank)[.]gif$", ("gif",)),
+    ("adult dating", "(?i)(?:^|[-_./])adult[-_./]+dating(?:[-_./]|$)", ("adult", "dating")),
+    ("online casino", "(?i)(?:^|[-_./])casino[-_./]+bonus(?:[-_./]|$)", ("casino", "bonus")),
+    ("cheap pills", "(?i)(?:^|[-_./])(?:buy|cheap)[-_./]+viagra(?:[-_./]|$)", ("viagra",)),
+    ("cracked software", "(?i)(?:keygen|serial)[-_./]+(?:crack|download)", ()),
+    ("torrents", "(?i)/torrent/[^/]+/download(?:/|$)", ("torrent", "download")),
+)
+METHOD_RULES = tuple(Rule(name, "block", pattern, tokens, -1, "method") for name, pattern, tokens in PATTERNS)
 
 
 def with_parts(pages: DataFrame, url: str) -> DataFrame:

@@ -5,12 +5,12 @@ measures of its bytes and words by a learned layer h = tanh(x W + b). Gated atte
 sigmoid(h_k U))) over the passages of a text, is learned together with it from labels of whole documents only; the
 score is the logistic function of the attention-weighted sum of the h_k.
 
-The model is fitted on the driver from at most ``max_train`` labelled texts, those with the smallest hashes of doc_id;
+The model is fitted on the driver from at most ``max_train`` labels, those with the smallest hashes of doc_id;
 scoring reads every row. labels, lang, source and doc_id are never inputs of a score.
 
 Edge cases: a null, empty or blank text is one passage of zeros; without labels of both kinds the score is the share
-of label 1 seen (one half without any); labels with a null id or label are not used; repeated labels of a document
-count as often as they occur; an empty table gives an empty result; extra columns pass through score(), those that
+of label 1 seen (one half without any); labels with a null id or label are not used; repeated labels count once, and of
+several texts with one doc_id the one with the smallest hash is learned from; an empty table gives an empty result; extra columns pass through score(), those that
 have the name of an output are replaced.
 """
 
@@ -114,7 +114,7 @@ class Model:
         return {"W": x.T @ du, "b": du.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ dlogit, "c": z.T @ r, "d": r.sum(keepdims=True)}
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = 5e-3, size: int = 64, seed: int = 7):
-        every = np.concatenate(bags)
+        every = np.concatenate(bags) if bags else np.zeros((1, WIDTH))
         self.mean, self.scale = every.mean(0), every.std(0) + 0.05
         r = np.random.default_rng(seed)
         m, v, k = {q: 0.0 for q in self.p}, {q: 0.0 for q in self.p}, 0
@@ -136,8 +136,9 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Model:
     """A model of the labelled ones among ``docs``."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", (F.col(label) > 0).cast("double").alias("y"))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # max_train rows at most
+    known = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_train)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # max_train labels at most
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
 
     def run(batches):
         for batch in batches:

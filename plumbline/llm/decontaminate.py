@@ -13,10 +13,12 @@ are indexed from as many of their first words each, so an item is aligned with a
 which has no more than its share of the edits; those of ``HALVES`` words or more are indexed by their halves too, one of which has no more
 than half of the edits.
 
-Matches of keys are candidates. Each is verified exactly: the least edit distance between the whole item and any
+Windows that have too few words of any item are not walked: a part of an item with no more than its share of the edits
+leaves more of them. Matches of keys are candidates. Each is verified exactly: the least edit distance between the whole item and any
 stretch of the text around the window. More walks and tables raise recall; the tests measure it.
 
-Nothing is shuffled. Items are collected in blocks of at most ``BLOCK`` words, each a pass of its own over the texts.
+Nothing is shuffled. Items are collected in blocks of about ``BLOCK`` words (a longer item is one of its own), each a pass
+of its own over the texts. A Python worker builds a block's index once and keeps it for all its tasks.
 
 Edge cases: items without words match nothing; an item without an id matches, with null as item_id; null or empty
 texts are clean; an item of up to 4 words must occur as it is; repeated rows are judged alike, each for itself;
@@ -26,11 +28,14 @@ columns pass through clean().
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.counts import Lookup
 from plumbline.llm.text import LETTERS, Words, map_arrow, mix, slices
 
 SIMILARITY = 0.8
@@ -38,7 +43,7 @@ STRIDE, SHORT_STRIDE, SHORT = 8, 2, 24
 SEGMENT = 48
 HALVES = 32
 WALKS, TABLES, SAMPLE = 4, 10, 4
-BLOCK = 2_000_000
+BLOCK = 400_000
 CHUNK = 4 << 20
 CLASSES = (1, 2, 4, 8, 12, 16, 24, 32, 48)  # the least words of each class of item sizes
 _REACH = 1.5
@@ -64,13 +69,20 @@ class Index:
         self.stride = stride
         self.items = [(i, h) for i, h in items if len(h)]
         pieces: dict[int, list[tuple[int, int]]] = {}
+        #: For each class: how many of as many words as its least size a window has in common with the items, if it
+        #: begins where a part of the class begins that has no more than its share of the edits.
+        self.least: dict[int, int] = {}
+        self.vocabulary = Lookup(np.unique(np.concatenate([h for _, h in self.items])) if self.items else np.zeros(0, np.uint64), 16)
         for k, (_, h) in enumerate(self.items):
             whole = max(1, len(h) // SEGMENT)
             for parts in {whole, 2 * whole} if len(h) >= HALVES else {whole}:
+                edits = allowed(len(h)) // parts  # that some part has at most
                 edges = [len(h) * p // parts for p in range(parts + 1)]
                 for a, b in zip(edges, edges[1:]):
                     for o in range(min(stride, b - a)):
-                        pieces.setdefault(class_of(min(b - a - o, SEGMENT)), []).append((k, a + o))
+                        c = class_of(min(b - a - o, SEGMENT))
+                        pieces.setdefault(c, []).append((k, a + o))
+                        self.least[c] = min(self.least.get(c, CLASSES[c]), CLASSES[c] - edits)
         rng = np.random.default_rng(_SEED)
         steps = {c: max(1, int(_REACH * n)) for c, n in enumerate(CLASSES)}
         plan = {c: [[np.sort(rng.choice(s, min(SAMPLE, s), replace=False)) for _ in range(TABLES if s > SAMPLE else 1)] for _ in range(WALKS)] for c, s in steps.items()}
@@ -82,6 +94,7 @@ class Index:
         for w in range(WALKS):
             self.take.append([[i for i, (c, t) in enumerate(self.tables) if j in plan[c][w][t]] for j in range(self.steps)])
         self.keys: list[list[tuple]] = []
+        whose = {c: np.array(pieces[c], np.int32).reshape(-1, 2) for c in self.classes}
         every = np.concatenate([np.concatenate([h, np.zeros(self.steps + 1, np.uint64)]) for _, h in self.items] or [np.zeros(0, np.uint64)])
         base = np.concatenate([[0], np.cumsum([len(h) + self.steps + 1 for _, h in self.items])])
         for w in range(WALKS):
@@ -93,8 +106,7 @@ class Index:
                 order = np.argsort(key, kind="stable")
                 seen = np.zeros(1 << _BITS, bool)
                 seen[(key >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-                who = np.array(pieces[c], np.int64).reshape(-1, 2)[order]
-                row.append((seen, key[order], who))
+                row.append((seen, key[order], order.astype(np.int32), whose[c]))
             self.keys.append(row)
 
     def walk(self, x: np.ndarray, start: np.ndarray, w: int) -> list[np.ndarray]:
@@ -117,7 +129,11 @@ class Index:
 
     def candidates(self, h: np.ndarray, start: np.ndarray, block: int = 1 << 16) -> np.ndarray:
         """Distinct (item's place, where the item would begin in h) of all matches of keys."""
-        out = []
+        known = np.concatenate([[0], np.cumsum(self.vocabulary.find(h) >= 0)])
+        enough = np.zeros(len(start), bool)
+        for c in self.classes:
+            enough |= known[np.minimum(start + CLASSES[c], len(h))] - known[start] >= self.least[c]
+        start, out = start[enough], []
         padded = np.concatenate([h, np.zeros(self.steps + 1, np.uint64)])
         for w in range(WALKS):
             x = self.symbols(padded, w)
@@ -128,7 +144,7 @@ class Index:
     def _match(self, x: np.ndarray, start: np.ndarray, w: int) -> list[np.ndarray]:
         keys = self.walk(x, start, w)
         out = []
-        for i, (seen, key, who) in enumerate(self.keys[w]):
+        for i, (seen, key, order, whose) in enumerate(self.keys[w]):
             k = keys[i]
             maybe = np.flatnonzero(seen.take((k >> np.uint64(64 - _BITS)).view(np.int64)))
             if not len(maybe):
@@ -136,7 +152,8 @@ class Index:
             lo, hi = np.searchsorted(key, k[maybe], "left"), np.searchsorted(key, k[maybe], "right")
             n = hi - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            out.append(np.column_stack([who[at, 0], np.repeat(start[maybe], n) - who[at, 1]]))
+            who = whose[order[at]].astype(np.int64)
+            out.append(np.column_stack([who[:, 0], np.repeat(start[maybe], n) - who[:, 1]]))
         return out
 
 
@@ -172,11 +189,12 @@ def verify(item: np.ndarray, h: np.ndarray, begin: np.ndarray, low: np.ndarray,
 
 
 def _blocks(items: DataFrame) -> list[list[tuple[int | None, str]]]:
+    words = F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))  # nearly those of LETTERS: enough for a size
     rows = items.where("text is not null").select("item_id", "text")
-    words = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    n = -(-words // (4 * BLOCK)) or 1
+    n = -(-(rows.agg(F.sum(words).alias("n")).first().n or 0) // BLOCK) or 1
     order = lambda x: (x[0] is None, x[0] or 0, x[1])
-    return [sorted(((r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()), key=order) for b in range(n)]
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return [sorted(((r.item_id, r.text) for r in (rows.where(part == b) if n > 1 else rows).collect()), key=order) for b in range(n)]
 
 
 def hits(part: pa.RecordBatch, indexes: list[Index], text: str) -> tuple[np.ndarray, list]:
@@ -228,15 +246,26 @@ def _index(block: list[tuple[int, str]]) -> list[Index]:
     return [Index([x for x in items if len(x[1]) >= SHORT]), Index([x for x in items if len(x[1]) < SHORT], SHORT_STRIDE)]
 
 
+_built: dict[str, list[Index]] = {}
+
+
+def _kept(name: str, shared) -> list[Index]:
+    """The index of a block, built once in each Python worker; one block's at a time."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = _index(shared.value)
+    return _built[name]
+
+
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, distance, item_words, end_word): the best match of each text and item."""
     schema = "doc_id bigint, item_id bigint, distance int, item_words int, end_word bigint"
     rows, out = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")), None
     for block in _blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK words at most
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # about BLOCK words
 
-        def run(batches, shared=shared):
-            index = _index(shared.value)
+        def run(batches, shared=shared, name=uuid.uuid4().hex):
+            index = _kept(name, shared)
             for batch in batches:
                 for part in slices(batch, "text", CHUNK):
                     m, items = hits(part, index, "text")
@@ -254,10 +283,10 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "do
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that no item contaminates, all columns as they were."""
     for block in _blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK words at most
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # about BLOCK words
 
-        def run(batches, shared=shared):
-            index = _index(shared.value)
+        def run(batches, shared=shared, name=uuid.uuid4().hex):
+            index = _kept(name, shared)
             for batch in batches:
                 for part in slices(batch, text, CHUNK):
                     keep = np.ones(part.num_rows, bool)

@@ -49,7 +49,7 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
 def measured(docs: DataFrame, text: str, id: str, carry: list[str]) -> DataFrame:
     t = F.col(text)
     return docs.select(
-        *carry,
+        *([F.struct(*carry).alias("__carried")] if carry else []),
         F.col(id).alias("__id"),
         (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("long").alias("size"),
         words_in(t).alias("words"),
@@ -60,8 +60,8 @@ def measured(docs: DataFrame, text: str, id: str, carry: list[str]) -> DataFrame
     )
 
 
-def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``rows`` (of measured()) with their shard."""
+def plan(rows: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+    """((group, pieces) of the heavy groups, (item, shard) of all items) for ``rows`` of measured()."""
     total = rows.agg(*[F.sum(c).alias(c) for c in _DIMENSIONS]).first()
     share = {c: (total[c] or 0) / shards for c in _DIMENSIONS}
     groups = rows.groupBy("group").agg(*[F.sum(c).alias(c) for c in _DIMENSIONS])
@@ -69,23 +69,34 @@ def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     heavy = groups.withColumn("load", load).where(F.col("load") > 1 / HEAVY)
     pieces = F.when(F.col("load") > 0.5, F.ceil(F.col("load") * PIECES)).otherwise(1).cast("int")
     heavy = cut(heavy.select("group", pieces.alias("pieces")))  # 3 * shards * HEAVY rows at most
-    n = shards * BLOCKS
-    light = F.concat(F.lit("b"), F.pmod(F.xxhash64("group"), F.lit(n)))
-    piece = F.concat(F.lit("g"), "group", F.lit("/"), F.pmod(F.xxhash64(F.lit(7), F.coalesce(F.col("__id").cast("string"), F.col("__at").cast("string"))), F.col("pieces")))
-    placed = rows.join(F.broadcast(heavy), "group", "left").withColumn("item", F.when(F.col("pieces").isNull(), light).otherwise(piece)).drop("pieces")
-    items = placed.groupBy("item").agg(*[F.sum(c).alias(c) for c in _DIMENSIONS]).collect()
+    items = _items(rows, heavy, shards).groupBy("item").agg(*[F.sum(c).alias(c) for c in _DIMENSIONS]).collect()
     items.sort(key=lambda r: r["item"])
     shard = pack(np.array([[r[c] for c in _DIMENSIONS] for r in items], float).reshape(-1, 3), shards)
-    table = rows.sparkSession.createDataFrame([(r["item"], int(s)) for r, s in zip(items, shard)], "item string, shard int")
-    return placed.join(F.broadcast(table), "item").drop("item")
+    return heavy, rows.sparkSession.createDataFrame([(r["item"], int(s)) for r, s in zip(items, shard)], "item string, shard int")
+
+
+def _items(rows: DataFrame, heavy: DataFrame, shards: int) -> DataFrame:
+    light = F.concat(F.lit("b"), F.pmod(F.xxhash64("group"), F.lit(shards * BLOCKS)))
+    of = F.coalesce(F.col("__id").cast("string"), F.col("__at").cast("string"))
+    piece = F.concat(F.lit("g"), "group", F.lit("/"), F.pmod(F.xxhash64(F.lit(7), of), F.col("pieces")))
+    return rows.join(F.broadcast(heavy), "group", "left").withColumn("item", F.when(F.col("pieces").isNull(), light).otherwise(piece)).drop("pieces")
+
+
+def assign(rows: DataFrame, heavy: DataFrame, table: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``rows`` with their shard. A piece that the plan has not met (rows without an id, read again) goes by its hash."""
+    placed = _items(rows, heavy, shards).join(F.broadcast(table), "item", "left")
+    return placed.withColumn("shard", F.coalesce("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int"))).drop("item")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """(columns ``carry``, doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row."""
-    rows = cut(measured(docs, text, id, carry or []))
-    placed = assign(rows, shards).drop("words", "one", "group")
+    thin = cut(measured(docs, text, id, []))
+    heavy, table = plan(thin, shards)
+    # Carried columns may be whole texts: they are read again and moved once, not stored twice.
+    placed = assign(measured(docs, text, id, carry) if carry else thin, heavy, table, shards).drop("words", "one", "group")
     order = [F.col("__id").asc_nulls_last(), F.col("text_crc32"), F.col("size"), F.col("__at")]
     ranked = global_rank(placed, order, "slot", by=["shard"])
+    added = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
     return ranked.select(
-        *(carry or []), F.col("__id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        *[f"__carried.{c}" for c in carry or [] if c not in added], F.col("__id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -52,6 +52,10 @@ def q6(sql: str, name: str) -> str:
     return f"round({sql}, 6) + 0.0 AS {name}"
 
 
+def _c(v: float) -> str:
+    return f"({float(v)!r})::DOUBLE"
+
+
 COLS = ["q", "p", "d", "t"]
 LINES = "SELECT l_quantity AS q, l_extendedprice / 1000 AS p, l_discount AS d, l_tax AS t FROM lineitem"
 KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_shipdate"]
@@ -274,7 +278,7 @@ a AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY s) - 1 AS i FROM (
 b AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY s) - 1 AS j FROM (SELECT k, list_dot_product(x, u) AS s FROM e, h, u WHERE r >= h)),
 c AS (SELECT DISTINCT pos FROM (SELECT r * g AS pos FROM e, h WHERE r < h UNION ALL SELECT r * h FROM e, h WHERE r < g)),
 w AS (SELECT pos, (coalesce(lead(pos) OVER (ORDER BY pos), h * g) - pos)::DOUBLE / (h * g) AS width FROM c, h)
-SELECT {q6(f"1e30 * avg(w) / {distance.sphere_area(64)!r}::DOUBLE / 1e30", "w")}, {q6("avg(w)", "mean_w")} FROM (
+SELECT {q6(f"ln(avg(w)) - {_c(math.log(distance.sphere_area(64)))}", "log_w")}, {q6("avg(w)", "mean_w")} FROM (
   SELECT a.k, sum(width * (a.s - b.s) * (a.s - b.s)) AS w FROM w, h JOIN a ON a.i = w.pos // h.g JOIN b ON b.j = w.pos // h.h AND b.k = a.k GROUP BY a.k)""")
 def sliced_wasserstein(spark, d):
     """A third of the vectors against the rest."""
@@ -282,7 +286,7 @@ def sliced_wasserstein(spark, d):
     third = rows.count() // 3
     a, b = rows.where(F.col("row_id") < third), rows.where(F.col("row_id") >= third)
     w = distance.sliced_wasserstein(a, b, "embedding", _directions(spark, 8, 64), 64, 2.0)
-    return w.select(r6("w", "w"), r6(F.col("w") * distance.sphere_area(64), "mean_w"))
+    return w.select(r6(F.log("w"), "log_w"), r6(F.col("w") * distance.sphere_area(64), "mean_w"))
 
 
 # --- scalers -----------------------------------------------------------------------------------------------------
@@ -349,10 +353,6 @@ def _density_query(name: str, dist: D.Univariate, x: Callable[[], Column], log_p
         return _events(spark, d).withColumn("z", x()).select("event_id", r6(log_pdf, "log_pdf"), r6(dist.d_log_pdf(z), "d1"), r6(dist.dd_log_pdf(z), "d2"))
 
 
-def _c(v: float) -> str:
-    return f"({float(v)!r})::DOUBLE"
-
-
 def _x() -> Column:
     return F.col("x")
 

@@ -46,13 +46,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    model = mil.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    model = mil.fit(docs, table(spark, sf_dir, "labels").where(learn))
     scored = mil.score(docs, model).withColumn("held_out", held_out)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.summary(lines.find(table(spark, sf_dir, "documents"))).drop("k")
+    return lines.summary(table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def oracle_sql() -> dict[str, str]:
 
 OP5_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -85,7 +86,7 @@ WITH d AS (
   SELECT source, source_size, greatest(least(cap::DOUBLE, (SELECT level FROM l) * weight), 0.0) AS target FROM w
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
+    ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null:' || coalesce(d.text, ''))), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
@@ -93,7 +94,7 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw
 
 
 def op6_sql() -> str:
-    words = "|".join(urls.KEYWORDS)
+    patterns = " OR ".join(f"regexp_matches(host || path, '{pattern}')" for _, pattern, _ in urls.PATTERNS)
     return rf"""
 WITH u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -111,7 +112,7 @@ WITH u AS (
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
   WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host || path, '(?i)(?:^|[^0-9a-z\x{{80}}-\x{{10FFFF}}])(?:{words})(?:[^0-9a-z\x{{80}}-\x{{10FFFF}}]|$)') THEN 'block'
+  WHEN {patterns} THEN 'block'
   ELSE 'allow' END AS verdict
 FROM r
 """

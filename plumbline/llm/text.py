@@ -42,6 +42,14 @@ def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def tasks_for(df: DataFrame, size: int = 16 << 20) -> int:
+    """How many tasks the rows are dealt to: the session's shuffle partitions, more if a task would get over ``size``
+    bytes of the files that the plan reads."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(n, -(-read // size)) if read < 1 << 60 else n  # Spark's way to say that it does not know
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """The column as Arrow large binary without nulls (null: empty)."""
     return column.cast(pa.large_string()).fill_null("").cast(pa.large_binary())

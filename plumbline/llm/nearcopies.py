@@ -1,17 +1,7 @@
-"""Near copies by the Jaccard similarity of 5-word shingles, at least 0.8.
+"""What near-duplicate operators share: shingles, exact Jaccard similarity of pairs, one row of each group.
 
 Shingles: words as in ``text.Words`` (A-Z lower-cased), every ``WIDTH`` consecutive ones (fewer words: the whole
 sequence; none: one empty shingle), as a set of 64-bit hashes.
-
-Candidates: ``BANDS`` bands of ``ROWS`` minimum hashes each; a pair of similarity 0.8 has no band in common with
-probability (1 - 0.8 ** ROWS) ** BANDS = 4e-4. Nothing is linked without its exact Jaccard similarity.
-
-Equal texts are one node, by a 64-bit hash of the text. Nodes with a band in common are first compared with the
-smallest of them. Where a band's nodes are then still in different components, all pairs of different components are
-compared. No group is capped, so a large group of texts just below the similarity costs the square of its size.
-
-Edge cases: null, empty and blank texts are copies of each other; null ids come last where a row is chosen; repeated
-rows are copies; an empty table gives an empty result; all columns are kept.
 """
 
 from __future__ import annotations
@@ -22,17 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.text import Words, map_arrow, mix, slices
-from plumbline.plans.components import connected_components
 from plumbline.plans.lineage import cut
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 5
-#: Nodes with more members or pairs than this are dealt over several tasks.
+#: Texts with more pairs than this are dealt over several tasks.
 HOT = 1000
 _RANDOM = np.random.default_rng(17)
 _WEIGHTS = _RANDOM.integers(1, 1 << 63, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTORS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -48,31 +35,7 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return mix(x), first
 
 
-def _band_keys(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """documents x BANDS: a hash of the band's number and its minima."""
-    out = np.empty((len(first) - 1, BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(first) - 1, b + 1, np.uint64)
-        for a in _FACTORS[b * ROWS : (b + 1) * ROWS]:
-            key = mix(key * np.uint64(31) + np.minimum.reduceat(x * a, first[:-1]))
-        out[:, b] = key
-    return out
-
-
-def signatures(rows: DataFrame) -> DataFrame:
-    """(k, keys) of the rows (k, text)."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                keys = _band_keys(*shingles(Words(part.column("text")))).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("k"), lists], ["k", "keys"])
-
-    return map_arrow(rows, run, "k bigint, keys array<bigint>")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (src, dst) whose exact similarity is high enough. Each text of more than HOT pairs is repeated."""
 
     def run(batches):
@@ -100,35 +63,6 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.select("src", "dst", "a", "b"), run, "src bigint, dst bigint")
 
 
-def labels(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(node, label) for each text (by xxhash64) with near copies; label is the same all over a component."""
-    rows = docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("text"))
-    signed = cut(signatures(rows))
-    table = signed.select("k", F.explode("keys").alias("key")).distinct()
-    groups = cut(table.groupBy("key").agg(F.min("k").alias("rep"), F.count("*").alias("n")).where("n > 1"))
-    hot = groups.where(F.col("n") > HOT).drop("n")
-    if hot.isEmpty():
-        members = cut(table.join(groups.drop("n"), "key"))
-    else:
-        cold = table.join(F.broadcast(hot.select("key")), "key", "left_anti").join(groups.where(F.col("n") <= HOT).drop("n"), "key")
-        members = cut(table.join(F.broadcast(hot), "key").unionByName(cold))
-    nodes = members.select("k").distinct()
-    texts = cut(rows.groupBy("k").agg(F.min("text").alias("text")).join(nodes, "k", "left_semi"))
-    pairs = cut(members.where("k <> rep").select(F.col("rep").alias("src"), F.col("k").alias("dst")).distinct())
-    links = cut(_verified(pairs, texts))
-    label = cut(connected_components(links))
-    at = members.join(label, members.k == label.node, "left").select("key", "k", F.coalesce("label", "k").alias("label"))
-    split = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    at = cut(at.join(split, "key", "left_semi"))
-    a, b = (at.select("key", F.col("k").alias(k), F.col("label").alias(f"l{k}")) for k in ("src", "dst"))
-    rest = a.join(b, "key").where("src < dst and lsrc <> ldst").select("src", "dst").distinct()
-    rest = cut(rest.join(pairs, ["src", "dst"], "left_anti"))
-    if rest.isEmpty():
-        return label
-    more = cut(_verified(rest, texts))
-    return label if more.isEmpty() else cut(connected_components(links.unionByName(more)))
-
-
 def one_of_each(docs: DataFrame, groups: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each ``g`` of groups (k, g), k being xxhash64 of a text; a text without a group is one
     of its own. The row with the smallest id (null last), then the smallest k stays; of rows that share both, the
@@ -148,8 +82,3 @@ def one_of_each(docs: DataFrame, groups: DataFrame, id: str = "doc_id", text: st
     first = F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("r")
     again = rows(many).groupBy(F.col(id).alias("__id"), key.alias("__k")).agg(first).select(*[F.col(f"r.{c}") for c in docs.columns])
     return rows(kept.where("n = 1")).unionByName(again)
-
-
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one of each component of near copies."""
-    return one_of_each(docs, labels(docs, text).select(F.col("node").alias("k"), F.col("label").alias("g")), id, text)

@@ -12,6 +12,18 @@ A half that more than ``hot_bucket`` distinct fingerprints share is not joined w
 the whole ball of radius 2 around them (2,081 complete fingerprints), which finds the same links and grows in
 proportion to their number. So no bucket gives more than hot_bucket * 33 * hot_bucket comparisons, and none is capped.
 
+The same on wide fingerprints finds near copies, groups() and keep_one(): a Jaccard similarity of five-word shingles
+of at least 0.8. Two such texts differ in about 15 % of the bits of their fingerprints, whatever the hashes, so 64 bits
+and a small radius are not enough. A wide fingerprint has ``SEGMENTS`` segments of ``SEGMENT_BITS`` bits, made as above
+from as many hashes of each distinct shingle, and is filed under each of them. The Hamming ball of radius 1 around each
+segment is looked up in that segment's table: two texts of similarity 0.8 meet and pass with a probability of 0.99 (0.85 if
+they have about five shingles), and two that have nothing in common in 1 of 14,000. A sketch of 384 bits, then
+the complete distance, then the exact similarity of the pair's shingles are verified, so nothing else is linked. The
+look-ups go in rounds, and a pair that is in one component by then is not taken up again: first equal values, then the
+rest of the balls. Of a value that more than ``SMALL`` texts share, these rounds compare only the middle one with all
+others; a last round takes all its pairs that are still apart, so none is left out, and a family of n near copies gives
+pairs in proportion to n.
+
 Copies have one fingerprint and are one row of all this. Links become components by contraction in distributed tables.
 
 Edge cases: null, empty and blank texts have fingerprint zero, which links like any other; a null doc_id is no
@@ -27,14 +39,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from plumbline.llm.nearcopies import one_of_each
-from plumbline.llm.text import map_arrow, texts_of
+from plumbline.llm.nearcopies import SIMILARITY, one_of_each, shingles, verified
+from plumbline.llm.text import Words, map_arrow, mix, slices, texts_of
 from plumbline.plans.components import connected_components
 from plumbline.plans.lineage import cut
 
 HOT_BUCKET = 1000
 SEED = 42
-_PART = 1 << 18
+#: Of the wide fingerprints: all bits behind the first word are cut into segments, the first words are a sketch.
+SEGMENTS, SEGMENT_BITS, SKETCH = 48, 24, 6
+WIDE = 1 + SEGMENTS * SEGMENT_BITS // 64
+#: The share of bits in which texts of similarity 0.8 differ, a bit more than expected; larger for few shingles.
+#: SPREADS standard deviations above it, a pair is given up.
+FAR, FAR_IF_FEW, FEW_SHINGLES, SPREADS = 0.155, 0.19, 24, 2.5
+#: Entries with a value that more of them share are first compared with the middle one.
+SMALL = 8
+#: Entries of one task.
+PER_TASK = 1 << 20
+_PART = 1 << 16
+_SALTS = np.random.default_rng(23).integers(1, 1 << 63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes) -> int:
@@ -70,7 +93,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Dat
     return map_arrow(rows, run, "doc_id bigint, fp bigint")
 
 
-def _ball(bits: int, radius: int) -> list[int]:
+def _masks(bits: int, radius: int) -> list[int]:
     masks = [0, *[1 << i for i in range(bits)]]
     if radius > 1:
         masks += [(1 << i) | (1 << j) for i in range(bits) for j in range(i)]
@@ -84,14 +107,14 @@ def links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     table = table.select("fp", "k.seg", "k.part")
     hot = cut(table.groupBy("seg", "part").count().where(F.col("count") > hot_bucket).select("seg", "part"))
     cold = table.join(hot, ["seg", "part"], "left_anti").withColumnRenamed("fp", "dst")
-    near = [high, *[high.bitwiseXOR(F.lit(m).cast("long")) for m in _ball(32, 1)[1:]]]
+    near = [high, *[high.bitwiseXOR(F.lit(m).cast("long")) for m in _masks(32, 1)[1:]]]
     probe = distinct.select(F.col("fp").alias("src"), F.explode(F.array(*[F.struct(F.lit(0).alias("seg"), x.alias("part")) for x in near], F.struct(F.lit(1).alias("seg"), low.alias("part")))).alias("k"))
     probe = probe.select("src", "k.seg", "k.part")
     pairs = probe.join(cold, ["seg", "part"]).where("src < dst and bit_count(src ^ dst) <= 2").select("src", "dst")
     if hot.isEmpty():
         return pairs.distinct()
     crowded = table.join(hot, ["seg", "part"], "left_semi").select("fp").distinct()
-    masks = F.explode(F.array(*[F.lit(m).cast("long") for m in _ball(64, 2)]))
+    masks = F.explode(F.array(*[F.lit(m).cast("long") for m in _masks(64, 2)]))
     wide = crowded.select(F.col("fp").alias("a"), masks.alias("m")).select("a", F.col("a").bitwiseXOR(F.col("m")).alias("fp"))
     found = wide.join(distinct.select("fp"), "fp").where("a <> fp")
     return pairs.union(found.select(F.least("a", "fp"), F.greatest("a", "fp"))).distinct()
@@ -100,20 +123,303 @@ def links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(doc_id, fp, component_id, n_links) for each row; n_links: other fingerprints within two bits."""
     rows = cut(fingerprints(docs, text, id))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    edges = cut(links(distinct, hot_bucket))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    edges = cut(links(distinct.select("fp"), hot_bucket))
     degree = edges.select(F.explode(F.array("src", "dst")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     label = connected_components(edges).withColumnRenamed("node", "fp")
     placed = cut(distinct.join(label, "fp", "left").join(degree, "fp", "left"))
     lowest = placed.where("label is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
-    placed = placed.join(lowest, "label", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.join(cut(placed), "fp").select("doc_id", "fp", "component_id", "n_links")
+    placed = placed.join(lowest, "label", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies")
+    placed = cut(placed)
+    # Fingerprints of many rows (over 1 / 5000 of all, so 5,000 at most) are broadcast: no task gets all rows of one.
+    often = F.col("copies") > max(1000, (placed.agg(F.sum("copies")).first()[0] or 0) // 5000)
+    few = F.broadcast(placed.where(often))
+    rare = rows.join(F.broadcast(placed.where(often).select("fp")), "fp", "left_anti").join(placed.where(~often), "fp")
+    return rare.unionByName(rows.join(few, "fp")).select("doc_id", "fp", "component_id", "n_links")
+
+
+# Groups of near copies: wide fingerprints, an index of their segments, exact similarity.
+
+
+def distinct_shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of each document's distinct shingles, where each document's begin and the number of all)."""
+    x, first = shingles(words)
+    doc = np.repeat(np.arange(words.docs), np.diff(first))
+    z = mix(x ^ mix(doc.astype(np.uint64)))
+    order = np.argsort(z)
+    again = np.zeros(len(z), bool)
+    again[order[1:]] = z[order[1:]] == z[order[:-1]]
+    return x[~again], np.concatenate([[0], np.cumsum(np.bincount(doc[~again], minlength=words.docs))])
+
+
+def wide_fingerprints(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """documents x WIDE: a bit is set if over half of the document's shingles have it set in the hash that belongs to it;
+    if just half have, the document's smallest shingle decides."""
+    docs = len(first) - 1
+    count = np.diff(first)
+    least = np.minimum.reduceat(x, first[:-1])
+    out = np.empty((docs, WIDE), np.uint64)
+    for j, salt in enumerate(_SALTS):
+        total = np.zeros((docs, 64), np.int32)
+        for a in range(0, len(x), _PART):  # bounded memory for very long texts
+            b = min(a + _PART, len(x))
+            who = np.arange(np.searchsorted(first, a, "right") - 1, np.searchsorted(first, b, "left"))
+            begin, end = np.maximum(first[who], a), np.minimum(first[who + 1], b)
+            parts = -(-(end - begin) // 255)  # sums of up to 255 bits fit into a byte
+            edges = np.repeat(begin - a, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+            bits = np.unpackbits(mix(x[a:b] ^ salt).view(np.uint8)).view(np.uint64).reshape(-1, 8)
+            sums = np.add.reduceat(bits, edges, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int32)
+            total[who] += np.add.reduceat(sums, np.cumsum(parts) - parts, axis=0)
+        decides = np.unpackbits(mix(least ^ salt).view(np.uint8)).reshape(-1, 64)
+        out[:, j] = np.packbits(2 * total + decides > count[:, None], axis=1).view(np.uint64)[:, 0]
+    return out
+
+
+def _wide(rows: DataFrame) -> DataFrame:
+    """(k, fp) of the rows (k, text): the fingerprint as bytes, and behind it the number of shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                x, first = distinct_shingles(Words(part.column("text")))
+                fp = np.column_stack([wide_fingerprints(x, first), np.diff(first).astype(np.uint64)])
+                size = 8 * (WIDE + 1)
+                blobs = pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(np.arange(len(fp) + 1, dtype=np.int32) * size), pa.py_buffer(fp.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("k"), blobs], ["k", "fp"])
+
+    return map_arrow(rows, run, "k bigint, fp binary")
+
+
+def _parsed(fp: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, numbers of shingles)."""
+    words = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(-1, WIDE + 1)
+    return words[:, :WIDE], words[:, WIDE].astype(np.int64)
+
+
+def close(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Marks pairs whose numbers of shingles allow the similarity and whose bits differ little enough for it; texts of
+    few shingles differ in more."""
+    low, high = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    out = low >= SIMILARITY * high - 1e-9
+    bits = 64 * a.shape[1]
+    p = np.where(low[out] < FEW_SHINGLES, FAR_IF_FEW, FAR)
+    limit = bits * p + SPREADS * np.sqrt(bits * p * (1 - p))
+    out[out] = np.bitwise_count(a[out] ^ b[out]).sum(1, dtype=np.int64) <= limit
+    return out
+
+
+def segments(fp: np.ndarray) -> np.ndarray:
+    """documents x SEGMENTS: the values of the segments behind the first word."""
+    bits = np.unpackbits(np.ascontiguousarray(fp[:, 1:]).view(np.uint8).reshape(len(fp), -1), axis=1)
+    packed = np.packbits(bits[:, : SEGMENTS * SEGMENT_BITS].reshape(len(fp), SEGMENTS, SEGMENT_BITS), axis=2).astype(np.uint32)
+    value = np.zeros(packed.shape[:2], np.uint32)
+    for k in range(packed.shape[2]):
+        value = (value << np.uint32(8)) | packed[:, :, k]
+    return value
+
+
+def _entry(words: int) -> np.dtype:
+    return np.dtype([("value", np.uint32), ("k", np.int64), ("n", np.int64), ("label", np.int64), ("sketch", np.uint64, words)])
+
+
+_HALF = (1 << SEGMENT_BITS // 2) - 1
+
+
+def _entries(prints: DataFrame, views: int, parts: int, words: int) -> DataFrame:
+    """(table, part, blob) of the rows (k, fp, label): each fingerprint under each of its segments, with its first
+    ``words`` words as a sketch. With one view, a
+    segment's table is one part. With two, the table is dealt by the lower half of the value, and once more by the upper
+    half: values that differ in one bit share one half, so they meet in one part."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp, n = _parsed(batch.column("fp"))
+            value = segments(fp)
+            e = np.empty(len(fp), _entry(words))
+            e["k"], e["label"], e["n"], e["sketch"] = batch.column("k").to_numpy(), batch.column("label").to_numpy(), n, fp[:, :words]
+            tables, at, blobs = [], [], []
+            for s in range(SEGMENTS):
+                e["value"] = value[:, s]
+                for v in range(views):
+                    half = (e["value"] >> np.uint32(SEGMENT_BITS // 2 * v)) & np.uint32(_HALF)
+                    where = mix(half.astype(np.uint64)) % np.uint64(parts) if views > 1 else np.zeros(len(e), np.uint64)
+                    for p in np.unique(where):
+                        tables.append(views * s + v)
+                        at.append(int(p))
+                        blobs.append(e[where == p].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(tables, pa.int32()), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["table", "part", "blob"])
+
+    return map_arrow(prints, run, "table int, part int, blob binary")
+
+
+def _ball(view: int, views: int) -> list[int]:
+    """What a value of a view's table is xored with to give its neighbours: nothing, or one bit of the half that the
+    view is not dealt by (of the whole value with one view). Of two views only the first has the value itself."""
+    if views == 1:
+        return [0, *[1 << b for b in range(SEGMENT_BITS)]]
+    half = SEGMENT_BITS // 2
+    return [0, *[1 << b for b in range(half, SEGMENT_BITS)]] if view == 0 else [1 << b for b in range(half)]
+
+
+#: The rounds of look-ups: values that are equal; the other values of the balls; what the two left out of large groups.
+EQUAL, NEAR_BY, REST = range(3)
+
+
+def _look_up(e: np.ndarray, ball: list[int], turn: int, crowd: list[np.ndarray], segment: int = 0):
+    """Pairs (src, dst) of one part of a table, in pieces: entries whose values are in each other's ball, whose sketches
+    are near and whose labels differ. Within a large group of values, or between it and another, only the pairs with
+    the middle of a group, the entry whose sketch is nearest to what most of its sketches are, are taken, in the last
+    round (REST) all of them. The round before (NEAR_BY) adds to ``crowd`` what the last one has to look at."""
+    e = e[np.argsort(e["value"], kind="stable")]
+    value, begin, group = np.unique(e["value"], return_index=True, return_inverse=True)
+    size = np.diff(np.append(begin, len(e)))
+    off = np.zeros(len(e), np.int64)  # bits of the sketch that differ from most of the group's
+    some = np.flatnonzero(size[group] > SMALL)
+    for j in range(e["sketch"].shape[1] if len(some) else 0):
+        bits = np.unpackbits(np.ascontiguousarray(e["sketch"][some, j]).view(np.uint8)).reshape(-1, 64)
+        first = np.flatnonzero(np.diff(group[some], prepend=-1))
+        most = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int64) > size[group[some[first]], None]
+        off[some] += (bits != most[np.cumsum(np.diff(group[some], prepend=-1) != 0) - 1]).sum(1)
+    e = e[np.lexsort((e["k"], off, group))]
+    k, label, shingles_, sketch = (np.ascontiguousarray(e[c]) for c in ("k", "label", "n", "sketch"))
+
+    def near(a, b):
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        ok = close(sketch[a], shingles_[a], sketch[b], shingles_[b])
+        a, b = a[ok], b[ok]
+        if turn == REST and segment and len(a):  # a pair that an earlier table has, too, is taken there
+            new = (np.bitwise_count(segments(sketch[a]) ^ segments(sketch[b]))[:, :segment] > 1).all(1)
+            a, b = a[new], b[new]
+        a, b = k[a], k[b]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def product(g, h):
+        """All pairs of the groups g and h, in pieces."""
+        pairs = size[g] * size[h]
+        total, at = np.cumsum(pairs), 0
+        while at < len(g):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PART, "right")))
+            n, h_size = pairs[at:to], np.repeat(size[h[at:to]], pairs[at:to])
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield near(np.repeat(begin[g[at:to]], n) + place // h_size, np.repeat(begin[h[at:to]], n) + place % h_size)
+            at = to
+
+    for flip in ball:
+        if flip and turn == EQUAL:
+            continue
+        if flip:
+            g = np.flatnonzero(value < value ^ np.uint32(flip))
+            h = np.minimum(np.searchsorted(value, value[g] ^ np.uint32(flip)), max(len(value) - 1, 0))
+            there = value[h] == value[g] ^ np.uint32(flip)
+            g, h = g[there], h[there]
+        else:
+            g = h = np.flatnonzero(size > 1)
+        large = (size[g] > SMALL) | (size[h] > SMALL)
+        if turn == REST:
+            yield from product(g[large], h[large])
+            continue
+        if turn == NEAR_BY:
+            full = np.zeros(len(value), bool)
+            full[g[large]] = full[h[large]] = True
+            crowd.append(e["k"][full[group]])  # the entries are in the order of their groups
+            if not flip:
+                continue
+        yield from product(g[~large], h[~large])
+        g, h = g[large], h[large]
+        if len(g):
+            for one, other in ((g, h), (h, g)):
+                n = size[other]
+                total = np.cumsum(n)
+                yield near(np.repeat(begin[one], n), np.repeat(begin[other] - (total - n), n) + np.arange(n.sum()))
+
+
+def _matches(prints: DataFrame, views: int, parts: int, turn: int) -> DataFrame:
+    """The index's matches in a round for the rows (k, fp, label): rows (src, dst), a pair perhaps repeatedly, or
+    (crowd), keys that the last round has to look at, as bytes."""
+    words = WIDE if turn == REST else SKETCH
+
+    def run(batches):
+        found: dict[tuple[int, int], list[np.ndarray]] = {}
+        for batch in batches:
+            for t, p, b in zip(*[batch.column(c).to_pylist() for c in ("table", "part", "blob")]):
+                found.setdefault((t, p), []).append(np.frombuffer(b, _entry(words)))
+        for (t, _), blobs in found.items():
+            crowd = []
+            for a, b in _look_up(np.concatenate(blobs), _ball(t % views, views), turn, crowd, t // views):
+                if len(a):
+                    pairs = np.unique(np.stack([a, b], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], ["src", "dst", "crowd"])
+            if any(map(len, crowd)):
+                keys = pa.array([np.unique(np.concatenate(crowd)).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), keys], ["src", "dst", "crowd"])
+
+    tasks = max(SEGMENTS * views * parts // 4, 1)
+    return map_arrow(_entries(prints, views, parts, words).repartition(tasks, "table", "part"), run, "src bigint, dst bigint, crowd binary")
+
+
+def _crowd(found: DataFrame) -> DataFrame:
+    """(k) of the keys in ``crowd``."""
+
+    def run(batches):
+        for batch in batches:
+            for b in batch.column("crowd").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b, np.int64))], ["k"])
+
+    return map_arrow(found.where("crowd is not null").select("crowd"), run, "k bigint").distinct()
+
+
+def _checked(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose complete fingerprints are close and whose exact similarity is high enough."""
+
+    def run(batches):
+        for batch in batches:
+            (a, n_a), (b, n_b) = (_parsed(batch.column(c)) for c in ("a", "b"))
+            yield batch.select(["src", "dst"]).filter(pa.array(close(a, n_a, b, n_b)))
+
+    for c, out in (("src", "a"), ("dst", "b")):
+        pairs = pairs.join(prints.select(F.col("k").alias(c), F.col("fp").alias(out)), c)
+    return cut(verified(cut(map_arrow(pairs.select("src", "dst", "a", "b"), run, "src bigint, dst bigint")), texts))
+
+
+def groups(docs: DataFrame, text: str = "text", per_task: int = PER_TASK) -> DataFrame:
+    """(node, label) for each text (by xxhash64) that has near copies: five-word shingles of a Jaccard similarity of at
+    least 0.8. label is the same all over a component."""
+    rows = docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("text"))
+    prints = cut(_wide(rows).groupBy("k").agg(F.first("fp").alias("fp")))  # equal keys have equal texts
+    n = prints.count()
+    views, parts = (1, 1) if n <= per_task else (2, -(-2 * n // per_task))
+    label, links, before, crowd = None, None, None, None
+    for turn in (EQUAL, NEAR_BY, REST):
+        if label is None:
+            placed = prints.withColumn("label", F.col("k"))
+        else:
+            at = label.select(F.col("node").alias("k"), "label")
+            placed = prints.join(at, "k", "left").withColumn("label", F.coalesce("label", "k"))
+        if turn == REST:
+            placed = placed.join(crowd, "k", "left_semi")
+        found = cut(_matches(placed, views, parts, turn))
+        if turn == NEAR_BY:
+            crowd = cut(_crowd(found))
+        pairs = found.where("crowd is null").select("src", "dst").distinct()
+        pairs = cut(pairs if before is None else pairs.join(before, ["src", "dst"], "left_anti"))
+        before = pairs if before is None else before.unionByName(pairs)
+        if label is not None and pairs.isEmpty():
+            continue
+        nodes = pairs.select(F.explode(F.array("src", "dst")).alias("k")).distinct()
+        texts = cut(rows.join(nodes, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text")))
+        new = _checked(pairs, prints, texts) if turn != REST else cut(verified(pairs, texts))  # the last round has complete distances
+        if label is None or not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            label = cut(connected_components(links))
+    return label
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without all but one row of each component: the smallest id stays, null last, then the
-    smallest hash of the text. Rows are told apart by id and text, so no other row of that id comes or goes with it."""
-    keyed = docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("text"))
-    found = near_duplicates(keyed, id="k", **options)
-    groups = found.select(F.col("doc_id").alias("k"), F.col("component_id").alias("g")).distinct()
-    return one_of_each(docs, groups, id, text)
+    """The rows of ``docs`` without all but one row of each group of near copies: the smallest id stays, null last,
+    then the smallest hash of the text. Rows are told apart by id and text, so no other row of that id comes or goes
+    with it."""
+    found = groups(docs, text, **options)
+    return one_of_each(docs, found.select(F.col("node").alias("k"), F.col("label").alias("g")), id, text)

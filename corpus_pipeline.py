@@ -1,7 +1,11 @@
 """From raw documents to shards: toxicity, near-duplicates, benchmark leaks, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and gives back a DataFrame; run() writes it as Parquet and reads it again as
-the next one's docs. All but the last give the columns of documents.
+the next one's docs, then removes what that stage had read. All but the last give the columns of documents; the last
+gives them with their shards, so its rows are the mixed corpus itself.
+
+Edge cases: each stage takes what its operator takes (null ids and texts, empty and very long texts, repeated rows,
+empty tables, extra columns); without labels nothing is toxic, without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -9,9 +13,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, nearcopies, sharding, toxicity
-from plumbline.llm.tables import table
+from plumbline.llm import decontaminate, mixing, sharding, simhash, toxicity
+from plumbline.llm.tables import delete, table
 from plumbline.plans.lineage import ensure_checkpoint_dir
 
 
@@ -21,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +34,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.emit(mixing.mix(docs)).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")  # whatever its columns are called
+    return mixing.emit(mixing.mix(rows)).select("row.*")
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs)
+    """The documents themselves, with the shard and the slot of each."""
+    return sharding.shard(docs, carry=[c for c in docs.columns if c != "doc_id"])
 
 
 STAGES = [
@@ -52,7 +59,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{base}/{name}"
     return docs

@@ -2,7 +2,7 @@
 
 import random
 
-from plumbline.llm import nearcopies, simhash
+from plumbline.llm import simhash
 
 
 def test_rows_are_kept_not_ids(spark):
@@ -16,7 +16,6 @@ def test_rows_are_kept_not_ids(spark):
     rows += [(9, b, 33), (9, b, 33)]  # another row of 9 stays; its copy under 9 above goes
     docs = spark.createDataFrame(rows, "doc_id long, text string, at int").repartition(3)
     want = sorted([*range(6), 10, 11, 12, 30, 33])
-    for keep in (simhash.keep_one, nearcopies.keep_one):
-        kept = keep(docs)
-        assert kept.columns == docs.columns
-        assert sorted(r.at for r in kept.collect()) == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.at for r in kept.collect()) == want

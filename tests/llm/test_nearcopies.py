@@ -3,8 +3,12 @@
 import collections
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from plumbline.llm import nearcopies
+from plumbline.llm import nearcopies, simhash
+from plumbline.llm.text import Words, mix
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -57,6 +61,38 @@ def test_candidates_that_the_smallest_does_not_link(spark):
     common = [f"c{i}" for i in range(150)]
     groups = [[*common, *[f"g{g}x{i}" for i in range(120)]] for g in range(6)]
     rows = [(10 * g + i, " ".join(changed(rng, w, i and 1)), "s") for g, w in enumerate(groups) for i in range(10)]
-    got = nearcopies.keep_one(spark.createDataFrame(rows, SCHEMA))
+    got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA))
     assert sorted(r.doc_id for r in got.collect()) == [0, 10, 20, 30, 40, 50]
-    assert nearcopies.keep_one(got.limit(0)).count() == 0
+    assert simhash.keep_one(got.limit(0)).count() == 0
+
+
+def test_two_views_find_what_one_finds(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        texts += [" ".join(changed(rng, base, k)) for k in (0, 1, 3, 5)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    one, two = (sorted(map(tuple, simhash.groups(docs, per_task=n).collect())) for n in (1 << 20, 50))
+    assert one == two and len({k for k, _ in one}) >= 120
+
+
+def test_fingerprints_in_parts_and_whole(spark):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(99)}" for _ in range(n)) for n in (1, 5, 6, 300, 2000)] + ["", None, "x y"]
+    x, first = simhash.distinct_shingles(Words(pa.array(texts)))
+    got = simhash.wide_fingerprints(x, first)
+    for d, t in enumerate(texts):
+        own = np.unique(nearcopies.shingles(Words(pa.array([t], pa.string())))[0])
+        assert (np.sort(x[first[d] : first[d + 1]]) == own).all()
+        for j, salt in enumerate(simhash._SALTS):
+            h = [int(v) for v in mix(own ^ salt)]
+            tie = int(mix(own.min(keepdims=True) ^ salt)[0])
+            swap = lambda v: int.from_bytes(int(v).to_bytes(8, "little"), "little")
+            want = sum(1 << b for b in range(64) if 2 * sum(swap(v) >> b & 1 for v in h) + (tie >> b & 1) > len(h))
+            assert int(got[d, j]) == want
+    old, simhash._PART = simhash._PART, 37
+    try:
+        assert (simhash.wide_fingerprints(x, first) == got).all()
+    finally:
+        simhash._PART = old

@@ -49,12 +49,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 either = np.array([len(a) + len(b) for a, b in zip(*sets)], np.int64) - both
                 yield part.select(["src", "dst"]).filter(pa.array(both >= SIMILARITY * either - 1e-9))
 
+    ends = pairs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("k")) for c in ("src", "dst")])).alias("e"))
+    often = cut(ends.groupBy("e.c", "e.k").count().where(F.col("count") > HOT))
+    there = {x.c for x in often.select("c").distinct().collect()}  # two rows at most
     for c, other, out in (("src", "dst", "a"), ("dst", "src", "b")):
         side = texts.select(F.col("k").alias(c), F.col("text").alias(out))
-        busy = cut(pairs.groupBy(c).count().where(F.col("count") > HOT).select(c, F.ceil(F.col("count") / HOT).cast("int").alias("__of")))
-        if busy.isEmpty():
+        if c not in there:
             pairs = pairs.join(side, c)
             continue
+        busy = often.where(F.col("c") == c).select(F.col("k").alias(c), F.ceil(F.col("count") / HOT).cast("int").alias("__of"))
         # Spread by the other end, so that one text's pairs do not go to one task.
         parts = F.coalesce("__of", F.lit(1))
         pairs = pairs.join(F.broadcast(busy), c, "left").withColumn("__part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("__of")

@@ -19,8 +19,8 @@ from as many hashes of each distinct shingle, and is filed under each of them. T
 segment is looked up in that segment's table: two texts of similarity 0.8 meet and pass with a probability of 0.99 (0.85 if
 they have about five shingles), and two that have nothing in common in 1 of 14,000. A sketch of 384 bits, then
 the complete distance, then the exact similarity of the pair's shingles are verified, so nothing else is linked. The
-look-ups go in rounds, and a pair that is in one component by then is not taken up again: first equal values, then the
-rest of the balls. Of a value that more than ``SMALL`` texts share, these rounds compare only the middle one with all
+look-ups go in rounds, and a pair that is in one component by then is not taken up again: first equal values of the first
+``FIRST`` segments, which link most of what is to be linked, then the rest of the balls. Of a value that more than ``SMALL`` texts share, these rounds compare only the middle one with all
 others; a last round takes all its pairs that are still apart, so none is left out, and a family of n near copies gives
 pairs in proportion to n.
 
@@ -52,6 +52,8 @@ WIDE = 1 + SEGMENTS * SEGMENT_BITS // 64
 #: The share of bits in which texts of similarity 0.8 differ, a bit more than expected; larger for few shingles.
 #: SPREADS standard deviations above it, a pair is given up.
 FAR, FAR_IF_FEW, FEW_SHINGLES, SPREADS = 0.155, 0.19, 24, 2.5
+#: The segments of the first round.
+FIRST = 12
 #: Entries with a value that more of them share are first compared with the middle one.
 SMALL = 8
 #: Entries of one task.
@@ -209,9 +211,10 @@ def close(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.
 
 
 def segments(fp: np.ndarray) -> np.ndarray:
-    """documents x SEGMENTS: the values of the segments behind the first word."""
+    """documents x SEGMENTS: the values of the segments behind the first word; of a sketch, of those that it holds."""
     bits = np.unpackbits(np.ascontiguousarray(fp[:, 1:]).view(np.uint8).reshape(len(fp), -1), axis=1)
-    packed = np.packbits(bits[:, : SEGMENTS * SEGMENT_BITS].reshape(len(fp), SEGMENTS, SEGMENT_BITS), axis=2).astype(np.uint32)
+    held = bits.shape[1] // SEGMENT_BITS
+    packed = np.packbits(bits[:, : held * SEGMENT_BITS].reshape(len(fp), held, SEGMENT_BITS), axis=2).astype(np.uint32)
     value = np.zeros(packed.shape[:2], np.uint32)
     for k in range(packed.shape[2]):
         value = (value << np.uint32(8)) | packed[:, :, k]
@@ -225,11 +228,11 @@ def _entry(words: int) -> np.dtype:
 _HALF = (1 << SEGMENT_BITS // 2) - 1
 
 
-def _entries(prints: DataFrame, views: int, parts: int, words: int) -> DataFrame:
-    """(table, part, blob) of the rows (k, fp, label): each fingerprint under each of its segments, with its first
-    ``words`` words as a sketch. With one view, a
-    segment's table is one part. With two, the table is dealt by the lower half of the value, and once more by the upper
-    half: values that differ in one bit share one half, so they meet in one part."""
+def _entries(prints: DataFrame, views: int, parts: int, words: int, turn: int) -> DataFrame:
+    """(table, part, blob) of the rows (k, fp, label): each fingerprint under each of its segments that the round looks
+    at, with its first ``words`` words as a sketch. With one view, a segment's table is one part. With two, the table is dealt by the lower half of the value, and once more by the upper
+    half: values that differ in one bit share one half, so they meet in one part. Equal values meet in either view."""
+    last, shown = (FIRST, 1) if turn == EQUAL else (SEGMENTS, views)
 
     def run(batches):
         for batch in batches:
@@ -240,9 +243,9 @@ def _entries(prints: DataFrame, views: int, parts: int, words: int) -> DataFrame
             e = np.empty(len(fp), _entry(words))
             e["k"], e["label"], e["n"], e["sketch"] = batch.column("k").to_numpy(), batch.column("label").to_numpy(), n, fp[:, :words]
             tables, at, blobs = [], [], []
-            for s in range(SEGMENTS):
+            for s in range(last):
                 e["value"] = value[:, s]
-                for v in range(views):
+                for v in range(shown):
                     half = (e["value"] >> np.uint32(SEGMENT_BITS // 2 * v)) & np.uint32(_HALF)
                     where = mix(half.astype(np.uint64)) % np.uint64(parts) if views > 1 else np.zeros(len(e), np.uint64)
                     for p in np.unique(where):
@@ -263,7 +266,7 @@ def _ball(view: int, views: int) -> list[int]:
     return [0, *[1 << b for b in range(half, SEGMENT_BITS)]] if view == 0 else [1 << b for b in range(half)]
 
 
-#: The rounds of look-ups: values that are equal; the other values of the balls; what the two left out of large groups.
+#: The rounds of look-ups: equal values of the first segments; the other values of the balls; what the two left out of large groups.
 EQUAL, NEAR_BY, REST = range(3)
 
 
@@ -285,12 +288,12 @@ def _look_up(e: np.ndarray, ball: list[int], turn: int, crowd: list[np.ndarray],
     e = e[np.lexsort((e["k"], off, group))]
     k, label, shingles_, sketch = (np.ascontiguousarray(e[c]) for c in ("k", "label", "n", "sketch"))
 
-    def near(a, b):
+    def near(a, b, once=True):
         apart = label[a] != label[b]
         a, b = a[apart], b[apart]
         ok = close(sketch[a], shingles_[a], sketch[b], shingles_[b])
         a, b = a[ok], b[ok]
-        if turn == REST and segment and len(a):  # a pair that an earlier table has, too, is taken there
+        if once and turn != EQUAL and segment and len(a):  # a pair that an earlier table has, too, is taken there, or in the last round
             new = (np.bitwise_count(segments(sketch[a]) ^ segments(sketch[b]))[:, :segment] > 1).all(1)
             a, b = a[new], b[new]
         a, b = k[a], k[b]
@@ -325,15 +328,15 @@ def _look_up(e: np.ndarray, ball: list[int], turn: int, crowd: list[np.ndarray],
             full = np.zeros(len(value), bool)
             full[g[large]] = full[h[large]] = True
             crowd.append(e["k"][full[group]])  # the entries are in the order of their groups
-            if not flip:
+            if not flip and segment < FIRST:
                 continue
         yield from product(g[~large], h[~large])
         g, h = g[large], h[large]
         if len(g):
-            for one, other in ((g, h), (h, g)):
+            for one, other in ((g, h), (h, g)) if flip else ((g, h),):
                 n = size[other]
                 total = np.cumsum(n)
-                yield near(np.repeat(begin[one], n), np.repeat(begin[other] - (total - n), n) + np.arange(n.sum()))
+                yield near(np.repeat(begin[one], n), np.repeat(begin[other] - (total - n), n) + np.arange(n.sum()), once=False)
 
 
 def _matches(prints: DataFrame, views: int, parts: int, turn: int) -> DataFrame:
@@ -356,8 +359,8 @@ def _matches(prints: DataFrame, views: int, parts: int, turn: int) -> DataFrame:
                 keys = pa.array([np.unique(np.concatenate(crowd)).tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), keys], ["src", "dst", "crowd"])
 
-    tasks = max(SEGMENTS * views * parts // 4, 1)
-    return map_arrow(_entries(prints, views, parts, words).repartition(tasks, "table", "part"), run, "src bigint, dst bigint, crowd binary")
+    tasks = FIRST * parts if turn == EQUAL else SEGMENTS * views * parts // 4
+    return map_arrow(_entries(prints, views, parts, words, turn).repartition(tasks, "table", "part"), run, "src bigint, dst bigint, crowd binary")
 
 
 def _crowd(found: DataFrame) -> DataFrame:
@@ -413,7 +416,7 @@ def groups(docs: DataFrame, text: str = "text", per_task: int = PER_TASK) -> Dat
         new = _checked(pairs, prints, texts) if turn != REST else cut(verified(pairs, texts))  # the last round has complete distances
         if label is None or not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            label = cut(connected_components(links))
+            label = connected_components(links)
     return label
 
 

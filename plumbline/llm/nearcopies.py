@@ -1,4 +1,4 @@
-"""What near-duplicate operators share: shingles, exact Jaccard similarity of pairs, one row of each group.
+"""What near-duplicate operators share: shingles, how many two texts share, one row of each group.
 
 Shingles: words as in ``text.Words`` (A-Z lower-cased), every ``WIDTH`` consecutive ones (fewer words: the whole
 sequence; none: one empty shingle), as a set of 64-bit hashes.
@@ -7,17 +7,14 @@ sequence; none: one empty shingle), as a set of 64-bit hashes.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import Words, map_arrow, mix, slices
+from plumbline.llm.text import Words, mix
 from plumbline.plans.lineage import cut
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Texts with more pairs than this are dealt over several tasks.
-HOT = 1000
 _RANDOM = np.random.default_rng(17)
 _WEIGHTS = _RANDOM.integers(1, 1 << 63, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -35,35 +32,16 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return mix(x), first
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose exact similarity is high enough. Each text of more than HOT pairs is repeated."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "a"):
-                sets = []
-                for c in ("a", "b"):
-                    x, first = shingles(Words(part.column(c)))
-                    sets.append([np.unique(x[i:j]) for i, j in zip(first, first[1:])])
-                both = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets)], np.int64)
-                either = np.array([len(a) + len(b) for a, b in zip(*sets)], np.int64) - both
-                yield part.select(["src", "dst"]).filter(pa.array(both >= SIMILARITY * either - 1e-9))
-
-    ends = pairs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("k")) for c in ("src", "dst")])).alias("e"))
-    often = cut(ends.groupBy("e.c", "e.k").count().where(F.col("count") > HOT))
-    there = {x.c for x in often.select("c").distinct().collect()}  # two rows at most
-    for c, other, out in (("src", "dst", "a"), ("dst", "src", "b")):
-        side = texts.select(F.col("k").alias(c), F.col("text").alias(out))
-        if c not in there:
-            pairs = pairs.join(side, c)
-            continue
-        busy = often.where(F.col("c") == c).select(F.col("k").alias(c), F.ceil(F.col("count") / HOT).cast("int").alias("__of"))
-        # Spread by the other end, so that one text's pairs do not go to one task.
-        parts = F.coalesce("__of", F.lit(1))
-        pairs = pairs.join(F.broadcast(busy), c, "left").withColumn("__part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("__of")
-        side = side.join(F.broadcast(busy), c, "left").select(c, out, F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"))
-        pairs = pairs.join(side, [c, "__part"]).drop("__part")
-    return map_arrow(pairs.select("src", "dst", "a", "b"), run, "src bigint, dst bigint")
+def shared(keys: np.ndarray, x: np.ndarray, first: np.ndarray, values: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles the texts a and b of each pair share. x: the shingles of all texts as numbers below ``values``,
+    text by text, where each one's begin being ``first``; keys: text * values + shingle of all, in order."""
+    n = np.diff(first)
+    less = n[a] <= n[b]
+    a, b = np.where(less, a, b), np.where(less, b, a)
+    begin = np.cumsum(n[a]) - n[a]
+    want = np.repeat(b * values, n[a]) + x[np.repeat(first[a] - begin, n[a]) + np.arange(n[a].sum())]
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    return np.add.reduceat((keys[at] == want).astype(np.int64), begin)
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,12 +17,17 @@ of at least 0.8. Two such texts differ in about 15 % of the bits of their finger
 and a small radius are not enough. A wide fingerprint has ``SEGMENTS`` segments of ``SEGMENT_BITS`` bits, made as above
 from as many hashes of each distinct shingle, and is filed under each of them. The Hamming ball of radius 1 around each
 segment is looked up in that segment's table: two texts of similarity 0.8 meet and pass with a probability of 0.99 (0.85 if
-they have about five shingles), and two that have nothing in common in 1 of 14,000. A sketch of 384 bits, then
-the complete distance, then the exact similarity of the pair's shingles are verified, so nothing else is linked. The
-look-ups go in rounds, and a pair that is in one component by then is not taken up again: first equal values of the first
-``FIRST`` segments, which link most of what is to be linked, then the rest of the balls. Of a value that more than ``SMALL`` texts share, these rounds compare only the middle one with all
-others; a last round takes all its pairs that are still apart, so none is left out, and a family of n near copies gives
-pairs in proportion to n.
+they have about five shingles), and two that have nothing in common in 1 of 14,000. A sketch of 384 bits is compared where
+two entries meet, and what meets is one family: a task gives each text's family, never its pairs, so rows grow with the
+texts and not with their pairs. The look-ups go in rounds, and a pair that is in one family by then is not taken up again: first
+equal values of the first ``FIRST`` segments, which join most of what is to be joined, then the rest of the balls. Of a value
+that more than ``SMALL`` texts share, these rounds compare only the middle one with all others; a last round takes all its
+pairs that are still apart, by complete fingerprints, so none is left out.
+
+A family is only where links can be. Its texts then come together, in blocks of ``BLOCK`` texts or ``BLOCK_BYTES`` bytes and
+pairs of blocks if there are more, and of all its pairs whose complete fingerprints are close enough the exact similarity
+of the shingles is verified, nearest first, unless links of others have joined the two; so nothing else is linked. A task
+again gives each text's component, not its links.
 
 Copies have one fingerprint and are one row of all this. Links become components by contraction in distributed tables.
 
@@ -39,9 +44,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from plumbline.llm.nearcopies import SIMILARITY, one_of_each, shingles, verified
-from plumbline.llm.text import Words, map_arrow, mix, slices, texts_of
-from plumbline.plans.components import connected_components
+from plumbline.llm.nearcopies import SIMILARITY, one_of_each, shared, shingles
+from plumbline.llm.text import Words, map_arrow, mix, slices, tasks_for, texts_of
+from plumbline.plans.components import PER_TASK as EDGES
+from plumbline.plans.components import connected_components, stars
 from plumbline.plans.lineage import cut
 
 HOT_BUCKET = 1000
@@ -58,6 +64,8 @@ FIRST = 12
 SMALL = 8
 #: Entries of one task.
 PER_TASK = 1 << 20
+#: Texts, and bytes of text, of a block of a family; rows of a block whose fingerprints are compared at once.
+BLOCK, BLOCK_BYTES, STRIP = 2048, 16 << 20, 512
 _PART = 1 << 16
 _SALTS = np.random.default_rng(23).integers(1, 1 << 63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -198,15 +206,18 @@ def _parsed(fp: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words[:, :WIDE], words[:, WIDE].astype(np.int64)
 
 
+def most_differing(low: np.ndarray, bits: int) -> np.ndarray:
+    """In how many of ``bits`` bits two texts may differ, of which the shorter one has ``low`` shingles; texts of few
+    shingles differ in more."""
+    p = np.where(low < FEW_SHINGLES, FAR_IF_FEW, FAR)
+    return bits * p + SPREADS * np.sqrt(bits * p * (1 - p))
+
+
 def close(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Marks pairs whose numbers of shingles allow the similarity and whose bits differ little enough for it; texts of
-    few shingles differ in more."""
+    """Marks pairs whose numbers of shingles allow the similarity and whose bits differ little enough for it."""
     low, high = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     out = low >= SIMILARITY * high - 1e-9
-    bits = 64 * a.shape[1]
-    p = np.where(low[out] < FEW_SHINGLES, FAR_IF_FEW, FAR)
-    limit = bits * p + SPREADS * np.sqrt(bits * p * (1 - p))
-    out[out] = np.bitwise_count(a[out] ^ b[out]).sum(1, dtype=np.int64) <= limit
+    out[out] = np.bitwise_count(a[out] ^ b[out]).sum(1, dtype=np.int64) <= most_differing(low[out], 64 * a.shape[1])
     return out
 
 
@@ -339,9 +350,28 @@ def _look_up(e: np.ndarray, ball: list[int], turn: int, crowd: list[np.ndarray],
                 yield near(np.repeat(begin[one], n), np.repeat(begin[other] - (total - n), n) + np.arange(n.sum()), once=False)
 
 
+class Joined:
+    """Edges, kept as stars: each node and the smallest one that it is joined with."""
+
+    def __init__(self):
+        self.u, self.v, self.held, self.least = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, EDGES
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        self.u.append(u)
+        self.v.append(v)
+        self.held += len(u)
+        if self.held > self.least:
+            u, v = self.stars()
+            self.u, self.v, self.held, self.least = [u], [v], len(u), max(EDGES, 2 * len(u))
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        node, root = stars(np.concatenate(self.u), np.concatenate(self.v))
+        return node[node != root], root[node != root]
+
+
 def _matches(prints: DataFrame, views: int, parts: int, turn: int) -> DataFrame:
-    """The index's matches in a round for the rows (k, fp, label): rows (src, dst), a pair perhaps repeatedly, or
-    (crowd), keys that the last round has to look at, as bytes."""
+    """What the index joins in a round, for the rows (k, fp, label): rows (src, dst), in each task no more than one for
+    a text, or (crowd), keys that the last round has to look at, as bytes."""
     words = WIDE if turn == REST else SKETCH
 
     def run(batches):
@@ -349,15 +379,16 @@ def _matches(prints: DataFrame, views: int, parts: int, turn: int) -> DataFrame:
         for batch in batches:
             for t, p, b in zip(*[batch.column(c).to_pylist() for c in ("table", "part", "blob")]):
                 found.setdefault((t, p), []).append(np.frombuffer(b, _entry(words)))
+        joined = Joined()
         for (t, _), blobs in found.items():
             crowd = []
             for a, b in _look_up(np.concatenate(blobs), _ball(t % views, views), turn, crowd, t // views):
-                if len(a):
-                    pairs = np.unique(np.stack([a, b], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], ["src", "dst", "crowd"])
+                joined.add(a, b)
             if any(map(len, crowd)):
                 keys = pa.array([np.unique(np.concatenate(crowd)).tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), keys], ["src", "dst", "crowd"])
+        node, root = joined.stars()
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.nulls(len(node), pa.binary())], ["src", "dst", "crowd"])
 
     tasks = FIRST * parts if turn == EQUAL else SEGMENTS * views * parts // 4
     return map_arrow(_entries(prints, views, parts, words, turn).repartition(tasks, "table", "part"), run, "src bigint, dst bigint, crowd binary")
@@ -374,17 +405,95 @@ def _crowd(found: DataFrame) -> DataFrame:
     return map_arrow(found.where("crowd is not null").select("crowd"), run, "k bigint").distinct()
 
 
-def _checked(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose complete fingerprints are close and whose exact similarity is high enough."""
+def true_links(side: np.ndarray, fp: np.ndarray, n: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each text of a family, or of a pair of its blocks, the smallest place among those that links join with it.
+    side: the text's block, in order; fp, n: fingerprints and numbers of shingles; x: all shingles, text by text."""
+    m, bits = len(n), 64 * WIDE
+    first = np.concatenate([[0], np.cumsum(n)])
+    values, x = np.unique(x, return_inverse=True)
+    keys = np.sort(np.repeat(np.arange(m) * len(values), n) + x)  # each text's shingles by their places in values
+    x = keys - np.repeat(np.arange(m) * len(values), n)
+    signs = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(m, -1), axis=1).astype(np.float32) * 2 - 1
+    split = int(np.searchsorted(side, side[-1])) if side[0] != side[-1] else 0
+    ends = split or m
+    root = np.arange(m)
+    for at in range(0, ends, STRIP):
+        a, start = np.arange(at, min(at + STRIP, ends)), split or at
+        differ = (bits - signs[a] @ signs[start:].T) / 2
+        low, high = np.minimum(n[a, None], n[start:]), np.maximum(n[a, None], n[start:])
+        i, j = np.nonzero((low >= SIMILARITY * high - 1e-9) & (differ <= most_differing(low, bits)) & (root[a, None] != root[start:]))
+        nearest = np.argsort(differ[i, j], kind="stable")
+        i, j = a[i[nearest]], start + j[nearest]
+        if not split:
+            i, j = i[i < j], j[i < j]
+        while len(i):
+            to = max(1, int(np.searchsorted(np.cumsum(np.minimum(n[i], n[j])), _PART, "right")))
+            u, v = i[:to], j[:to]
+            both = shared(keys, x, first, len(values), u, v)
+            linked = both >= SIMILARITY * (n[u] + n[v] - both) - 1e-9
+            if linked.any():
+                node, least = stars(root[u[linked]], root[v[linked]])
+                new = np.arange(m)
+                new[node] = least
+                root = new[root]
+            i, j = i[to:], j[to:]
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+    return root
+
+
+def _families(rows: DataFrame, prints: DataFrame, family: DataFrame, tasks: int) -> DataFrame:
+    """(src, dst): links within families that join what all links of a family join, for the texts (k, text)."""
 
     def run(batches):
-        for batch in batches:
-            (a, n_a), (b, n_b) = (_parsed(batch.column(c)) for c in ("a", "b"))
-            yield batch.select(["src", "dst"]).filter(pa.array(close(a, n_a, b, n_b)))
+        held, unit, out = [], None, []
+
+        def done():
+            k, side, fp, n, x = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((k, side))
+            first = np.concatenate([[0], np.cumsum(n)])
+            x = np.concatenate([x[first[i] : first[i + 1]] for i in order])
+            k = k[order]
+            root = true_links(side[order], fp[order], n[order], x)
+            joined = np.flatnonzero(root != np.arange(len(k)))
+            out.append((k[joined], k[root[joined]]))
+
+        def given():
+            a, b = (np.concatenate(c) for c in zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
 
-    for c, out in (("src", "a"), ("dst", "b")):
-        pairs = pairs.join(prints.select(F.col("k").alias(c), F.col("fp").alias(out)), c)
-    return cut(verified(cut(map_arrow(pairs.select("src", "dst", "a", "b"), run, "src bigint, dst bigint")), texts))
+        for batch in batches:
+            for part in slices(batch, "text"):
+                x, first = distinct_shingles(Words(part.column("text")))
+                fp, n = _parsed(part.column("fp"))
+                k, side = part.column("k").to_numpy(), part.column("side").to_numpy()
+                of = np.stack([part.column(c).to_numpy() for c in ("g", "low", "high")], 1)
+                cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(1)) + 1).tolist(), len(of)]
+                for i, j in zip(cuts, cuts[1:]):
+                    if held and (of[i] != unit).any():
+                        done()
+                        held.clear()
+                    unit = of[i]
+                    held.append((k[i:j], side[i:j], fp[i:j], n[i:j], x[first[i] : first[j]]))
+            if out:
+                yield given()
+        if held:
+            done()
+            yield given()
+
+    at = prints.join(family.select(F.col("node").alias("k"), F.col("label").alias("g")), "k")
+    texts = cut(rows.join(at, "k").groupBy("k").agg(*[F.first(c).alias(c) for c in ("text", "g", "fp")]))
+    size = texts.groupBy("g").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    large = cut(size.select("g", blocks.alias("blocks")).where("blocks > 1"))  # no more than all texts make full blocks
+    texts = texts.join(F.broadcast(large), "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    texts = texts.withColumn("side", F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    units = texts.select("g", "k", "fp", "text", "side", other)
+    units = units.select("g", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "k", "fp", "text")
+    units = units.repartition(tasks, "g", "low", "high").sortWithinPartitions("g", "low", "high")
+    return map_arrow(units, run, "src bigint, dst bigint")
 
 
 def groups(docs: DataFrame, text: str = "text", per_task: int = PER_TASK) -> DataFrame:
@@ -394,30 +503,23 @@ def groups(docs: DataFrame, text: str = "text", per_task: int = PER_TASK) -> Dat
     prints = cut(_wide(rows).groupBy("k").agg(F.first("fp").alias("fp")))  # equal keys have equal texts
     n = prints.count()
     views, parts = (1, 1) if n <= per_task else (2, -(-2 * n // per_task))
-    label, links, before, crowd = None, None, None, None
+    family, joined, crowd = None, None, None
     for turn in (EQUAL, NEAR_BY, REST):
-        if label is None:
+        if family is None:
             placed = prints.withColumn("label", F.col("k"))
         else:
-            at = label.select(F.col("node").alias("k"), "label")
+            at = family.select(F.col("node").alias("k"), "label")
             placed = prints.join(at, "k", "left").withColumn("label", F.coalesce("label", "k"))
         if turn == REST:
             placed = placed.join(crowd, "k", "left_semi")
         found = cut(_matches(placed, views, parts, turn))
         if turn == NEAR_BY:
             crowd = cut(_crowd(found))
-        pairs = found.where("crowd is null").select("src", "dst").distinct()
-        pairs = cut(pairs if before is None else pairs.join(before, ["src", "dst"], "left_anti"))
-        before = pairs if before is None else before.unionByName(pairs)
-        if label is not None and pairs.isEmpty():
-            continue
-        nodes = pairs.select(F.explode(F.array("src", "dst")).alias("k")).distinct()
-        texts = cut(rows.join(nodes, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text")))
-        new = _checked(pairs, prints, texts) if turn != REST else cut(verified(pairs, texts))  # the last round has complete distances
-        if label is None or not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            label = connected_components(links)
-    return label
+        new = found.where("crowd is null").select("src", "dst")
+        if family is None or not new.isEmpty():
+            joined = new if joined is None else joined.unionByName(new)
+            family = connected_components(joined)
+    return connected_components(_families(rows, prints, family, tasks_for(docs)))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

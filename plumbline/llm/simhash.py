@@ -65,7 +65,7 @@ SMALL = 8
 #: Entries of one task.
 PER_TASK = 1 << 20
 #: Texts, and bytes of text, of a block of a family; rows of a block whose fingerprints are compared at once.
-BLOCK, BLOCK_BYTES, STRIP = 2048, 16 << 20, 512
+BLOCK, BLOCK_BYTES, STRIP = 2048, 8 << 20, 512
 _PART = 1 << 16
 _SALTS = np.random.default_rng(23).integers(1, 1 << 63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -485,7 +485,8 @@ def _families(rows: DataFrame, prints: DataFrame, family: DataFrame, tasks: int)
     at = prints.join(family.select(F.col("node").alias("k"), F.col("label").alias("g")), "k")
     texts = cut(rows.join(at, "k").groupBy("k").agg(*[F.first(c).alias(c) for c in ("text", "g", "fp")]))
     size = texts.groupBy("g").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1))
+    blocks = F.least("n", blocks).cast("int")  # a block of very long texts may hold one
     large = cut(size.select("g", blocks.alias("blocks")).where("blocks > 1"))  # no more than all texts make full blocks
     texts = texts.join(F.broadcast(large), "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     texts = texts.withColumn("side", F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int"))
